@@ -22,12 +22,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField, StructType
 
-from .common import batches, only, table
+from .common import only, table
 
 #: Words are runs of `[^\x00-\x2F\x3A-\x60\x7B-\x7F]` after lower-casing A-Z: every other byte becomes a space.
 _WORD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-_STATE = "doc_id {id}, text string, n_words long, hits binary, items array<string>"
 _OUT = "doc_id {id}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, item_ids array<string>, spans array<struct<start:long,end:long>>"
 
 
@@ -109,49 +109,88 @@ def char_spans(text: bytes, hit: np.ndarray) -> list[dict]:
 
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = 13, block_chars: int = 4_000_000, share: int = 20) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): the contract's columns, then the item ids and the hit spans."""
-    spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
+    return _scanned(only(docs, "doc_id", "text"), items, width, block_chars, _OUT.format(id=kind), _reported(share))
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = 13, block_chars: int = 4_000_000, share: int = 20) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with all their columns."""
+
+    def clean(batch: pa.RecordBatch, words: list[int], hits: list, ids: list) -> pa.RecordBatch:
+        return batch.filter(pa.array([not (h is not None and h.any() and share * int(h.sum()) >= n) for n, h in zip(words, hits)], pa.bool_()))
+
+    return _scanned(docs, items, width, block_chars, docs.schema, clean)
+
+
+def _reported(share: int):
+    def reported(batch: pa.RecordBatch, words: list[int], hits: list, ids: list) -> pa.RecordBatch:
+        n_hit = [0 if h is None else int(h.sum()) for h in hits]
+        items = [sorted(i) for i in ids]
+        texts = batch.column("text").cast(pa.large_binary()).to_pylist()
+        spans = [[] if h is None else char_spans(t, h) for t, h in zip(texts, hits)]
+        return pa.RecordBatch.from_arrays(
+            [
+                batch.column("doc_id"),
+                pa.array(words, pa.int64()),
+                pa.array(n_hit, pa.int64()),
+                pa.array(map(len, items), pa.int64()),
+                pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for i in items], pa.string()),
+                pa.array([h > 0 and share * h >= n for n, h in zip(words, n_hit)], pa.bool_()),
+                pa.array(items, pa.list_(pa.string())),
+                pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+            ],
+            names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids", "spans"],
+        )
+
+    return reported
+
+
+def _scanned(docs: DataFrame, items: DataFrame, width: int, block_chars: int, schema, finish) -> DataFrame:
+    """One pass for each block of items; between passes two columns of our own hold what was hit so far."""
+    spark = docs.sparkSession
     blocks = [spark.sparkContext.broadcast(b) for b in item_blocks(items, width, block_chars)]
-    df = only(docs, "doc_id", "text")
+    hits, of = (_free_name(docs.columns, n) for n in ("_hits", "_items"))
+    between = StructType([*docs.schema.fields, StructField(hits, BinaryType()), StructField(of, ArrayType(StringType()))])
+    df = docs
     for k, block in enumerate(blocks):
-        df = df.mapInArrow(_pass(block, k == 0, k == len(blocks) - 1, kind, share), (_OUT if k == len(blocks) - 1 else _STATE).format(id=kind))
+        last = k == len(blocks) - 1
+        df = df.mapInArrow(_pass(block, k > 0, None if not last else finish, hits, of), schema if last else between)
     return df
 
 
-def _pass(block, first: bool, last: bool, kind: str, share: int):
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
+def _free_name(taken: list[str], name: str) -> str:
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
 
-    schema = to_arrow_schema(_parse_datatype_string((_OUT if last else _STATE).format(id=kind)))
 
-    def fn(cols: dict[str, list]) -> dict[str, list]:
+def _pass(block, later: bool, finish, hits_name: str, items_name: str):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(block.value)
-        out: dict[str, list] = {n: [] for n in schema.names}
-        for i, (doc_id, text) in enumerate(zip(cols["doc_id"], cols["text"])):
-            words = words_of(text)
-            hit, ids = scan_words(automaton, words)
-            if not first:
-                if (was := cols["hits"][i]) is not None:
-                    was = np.unpackbits(np.frombuffer(was, np.uint8), count=len(words)).astype(bool)
-                    hit = was if hit is None else was | hit
-                ids |= set(cols["items"][i])
-            out["doc_id"].append(doc_id)
-            out["n_words"].append(len(words))
-            if not last:
-                out["text"].append(text)
-                out["hits"].append(None if hit is None else np.packbits(hit).tobytes())
-                out["items"].append(sorted(ids))
-                continue
-            n_hit, ids = 0 if hit is None else int(hit.sum()), sorted(ids)
-            out["n_hit"].append(n_hit)
-            out["n_items"].append(len(ids))
-            out["items_sha256"].append(hashlib.sha256(",".join(ids).encode()).hexdigest())
-            out["contaminated"].append(n_hit > 0 and share * n_hit >= len(words))
-            out["item_ids"].append(ids)
-            out["spans"].append([] if hit is None else char_spans(text, hit))
-        return out
-
-    return batches(fn, schema, "doc_id", "text", *(() if first else ("hits", "items")))
+        for whole in it:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                n_words, hits, ids = [], [], []
+                for text in batch.column("text").cast(pa.large_binary()).to_pylist():
+                    words = words_of(text)
+                    hit, of = scan_words(automaton, words)
+                    n_words.append(len(words))
+                    hits.append(hit)
+                    ids.append(of)
+                if later:
+                    for i, (was, had) in enumerate(zip(batch.column(hits_name).to_pylist(), batch.column(items_name).to_pylist())):
+                        ids[i] |= set(had)
+                        if was is not None:
+                            was = np.unpackbits(np.frombuffer(was, np.uint8), count=n_words[i]).astype(bool)
+                            hits[i] = was if hits[i] is None else was | hits[i]
+                    batch = batch.drop_columns([hits_name, items_name])
+                if finish is not None:
+                    yield finish(batch, n_words, hits, ids)
+                    continue
+                packed = pa.array([None if h is None else np.packbits(h).tobytes() for h in hits], pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.columns, packed, pa.array([sorted(i) for i in ids], pa.list_(pa.string()))], names=[*batch.schema.names, hits_name, items_name])
+
+    return run
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
