@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, pii, simhash, substrings, toxicity
+from . import bpe, decontaminate, exact_dedup, html_text, pii, simhash, substrings, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_simhash": simhash.op2_simhash,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op6_substrings": substrings.op6_substrings,
+    "op7_html": html_text.op7_html,
     "op8_pii": pii.op8_pii,
     "op9_bpe": bpe.op9_bpe,
     "op10_decontaminate": decontaminate.op10_decontaminate,
