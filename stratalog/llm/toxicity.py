@@ -169,42 +169,41 @@ class Matcher:
 # --- learning ------------------------------------------------------------------------------------------------
 
 
-def learn_lexicon(rows: list[tuple[list[str], int]], max_terms: int) -> tuple[dict[str, float], dict[str, float]]:
-    """Words and stems that set toxic rows apart, with strengths from 0 to 1: many times as frequent there, beyond chance, and in at least three different surroundings (copies of one text don't count as evidence)."""
-    toxic = [t for t, y in rows if y]
-    clean = [t for t, y in rows if not y]
+def _keys(tokens: list[str]) -> dict:
+    """Words of a text and beginnings of words, each with the word before its first place and the word it is in."""
+    out: dict = {}
+    for before, t in zip(["", *tokens], tokens):
+        if len(t) >= 3 and t not in out:
+            out[t] = (before, t)
+            for n in (4, 5, 6, 7):
+                if len(t) > n:
+                    out.setdefault((t[:n],), (before, t))
+    return out
+
+
+def learn_lexicon(texts: dict[str, int], max_terms: int) -> tuple[dict[str, float], dict[str, float]]:
+    """Words and stems that set toxic texts apart, with strengths from 0 to 1: many times as frequent there, beyond chance, and in at least three different surroundings (copies of one text don't count as evidence)."""
+    toxic = [t for t, y in texts.items() if y]
+    clean = [t for t, y in texts.items() if not y]
     if not toxic or not clean:
         return {}, {}
     n_toxic: Counter = Counter()
+    for text in toxic:
+        n_toxic.update(_keys(TOKEN.findall(text)).keys())
+    n_toxic = Counter({k: n for k, n in n_toxic.items() if n >= 3})
     around: dict = defaultdict(set)
     forms: dict = defaultdict(set)
-    for tokens in toxic:
-        seen: dict = {}
-        for before, t in zip(["", *tokens], tokens):
-            if t not in seen and len(t) >= 3:
-                seen[t] = before
-        keys: dict = {}
-        for t, before in seen.items():
-            keys[t] = (before, t)
-            for n in (4, 5, 6, 7):
-                if len(t) > n:
-                    keys.setdefault((t[:n],), (before, t))
-        for key, (before, t) in keys.items():
-            n_toxic[key] += 1
-            if len(around[key]) < 3:
-                around[key].add(before)
-            if len(forms[key]) < 3:
-                forms[key].add(t)
-    able = {k for k, n in n_toxic.items() if n >= 3 and len(around[k]) >= 3 and (isinstance(k, str) or len(forms[k]) >= 3)}
+    for text in toxic:
+        for key, (before, t) in _keys(TOKEN.findall(text)).items():
+            if key in n_toxic:
+                if len(around[key]) < 3:
+                    around[key].add(before)
+                if len(forms[key]) < 3:
+                    forms[key].add(t)
+    able = {k for k in n_toxic if len(around[k]) >= 3 and (isinstance(k, str) or len(forms[k]) >= 3)}
     n_clean: Counter = Counter()
-    for tokens in clean:
-        keys = set()
-        for t in set(tokens):
-            keys.add(t)
-            for n in (4, 5, 6, 7):
-                if len(t) > n:
-                    keys.add((t[:n],))
-        n_clean.update(keys & able)
+    for text in clean:
+        n_clean.update(_keys(TOKEN.findall(text)).keys() & able)
     a, b = len(toxic), len(clean)
     found = []
     for key in able:
@@ -274,14 +273,13 @@ def held_out(name: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(f"`{name}`").cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_terms: int = 1_000) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000, max_terms: int = 1_000) -> dict:
     """A model from at most ``max_rows`` labelled rows, taken in the order of a hash of their ids."""
     own = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_toxic")).where(~held_out())
     own = own.withColumnRenamed("doc_id", "_id").orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
     rows = only(docs, "doc_id", "text").join(F.broadcast(own), F.col("doc_id") == F.col("_id")).where("text is not null").select("text", "_toxic")
     texts = dict(sorted((r.text.lower(), r._toxic) for r in rows.limit(2 * max_rows).toLocalIterator()))  # each text once
-    learned = [(TOKEN.findall(t), y) for t, y in texts.items()]
-    words, stems = learn_lexicon(learned, max_terms)
+    words, stems = learn_lexicon(texts, max_terms)
     if not words and not stems:
         return {"words": {}, "stems": {}, "weights": None}
     matcher, clean = Matcher(words, stems), set()
@@ -304,7 +302,7 @@ def _scorer(model: dict):
     nothing = float(1 / (1 + math.exp(-weights[-1])))
 
     def score(text: bytes | None) -> float:
-        if len(clean) > 1_000_000:
+        if len(clean) > 300_000:
             clean.clear()
         x = features_of(text.decode().lower(), matcher, clean) if text else None
         return nothing if x is None else float(1 / (1 + math.exp(-min(30.0, max(-30.0, float(np.dot(weights[:-1], x) + weights[-1]))))))
