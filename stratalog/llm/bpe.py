@@ -34,7 +34,7 @@ NEWER_NUMBERS = "\U00011de0-\U00011de9\U0001246f\U00012475-\U0001247f\U00012550-
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 PATTERN_NEWER = r"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?[\p{L}--[_L]]+| ?[\p{N}--[_N]]+| ?[[^\p{White_Space}\p{L}\p{N}]||[_L_N]]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+".replace("_L", NEWER_LETTERS).replace("_N", NEWER_NUMBERS)
 _MAYBE_NEWER = re.compile(rb"[\xd5-\xff]").search
-MEMORY = 1_000_000  # pre-tokens, and pairs, that a worker remembers
+MEMORY = 500_000  # pre-tokens, and pairs, that a worker remembers
 
 
 def byte_alphabet() -> dict[str, int]:
