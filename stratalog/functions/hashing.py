@@ -37,7 +37,8 @@ def hmac_sha256_hex(key: bytes, data: Column) -> Column:
 def seal(plain: Column, key: Column, nonce: Column | None = None) -> Column:
     args = [plain.cast("binary"), key, F.lit("GCM"), F.lit("DEFAULT")] + ([nonce] if nonce is not None else [])
     body = F.concat(F.lit(bytearray(MAGIC)), F.aes_encrypt(*args))
-    return F.concat(body, crc32_bytes(body))
+    # bound once: a second evaluation would draw another nonce
+    return F.transform(F.array(body), lambda b: F.concat(b, crc32_bytes(b)))[0]
 
 
 def envelope_ok(sealed: Column) -> Column:

@@ -36,8 +36,9 @@ def upsert_files(files: DataFrame, chunks: DataFrame, refs: DataFrame, new_files
 def insert_unique(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Append; a key that is there already (or twice in the new rows) stops the job."""
     both = old.unionByName(new)
-    twice = both.groupBy(key).count().where("count > 1").select(F.raise_error(F.concat(F.lit("duplicate key: "), F.col(key).cast("string"))).cast("string").alias(key))
-    return both.join(twice, key, "left_anti")
+    counts = both.groupBy(key).agg(F.count("*").alias("_n"))
+    ok = F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("duplicate key: "), F.col(key).cast("string"))).cast("boolean")).otherwise(True)
+    return both.join(counts, key).where(ok).drop("_n")
 
 
 def upsert_index(index: DataFrame, delta: DataFrame, ordinal: str | None = None) -> DataFrame:

@@ -19,9 +19,9 @@ def _fs(spark: SparkSession, path: str):
 def current(spark: SparkSession, root: str) -> str | None:
     """Folder of the current version; None before the first."""
     rows = None
-    p, fs, _ = _fs(spark, f"{root}/_current")
+    p, fs, _ = _fs(spark, f"{root}/CURRENT")
     if fs.exists(p):
-        rows = spark.read.text(f"{root}/_current").take(1)
+        rows = spark.read.text(f"{root}/CURRENT").take(1)
     return f"{root}/{rows[0][0]}" if rows else None
 
 
@@ -30,11 +30,11 @@ def write(df: DataFrame, root: str) -> str:
     spark = df.sparkSession
     name = f"v-{uuid.uuid4().hex}"
     df.write.parquet(f"{root}/{name}")
-    fresh, fs, jvm = _fs(spark, f"{root}/_current-{name}")
+    fresh, fs, jvm = _fs(spark, f"{root}/CURRENT-{name}")
     out = fs.create(fresh, True)
     out.write(bytearray(name.encode()))
     out.close()
-    final = jvm.org.apache.hadoop.fs.Path(f"{root}/_current")
+    final = jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT")
     context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), spark.sparkContext._jsc.hadoopConfiguration()) if "://" in root else jvm.org.apache.hadoop.fs.FileContext.getFileContext(spark.sparkContext._jsc.hadoopConfiguration())
     options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
     options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
