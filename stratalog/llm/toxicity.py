@@ -23,6 +23,7 @@ is 0; repeated rows give one result row each; an empty table gives an empty resu
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
@@ -41,7 +42,7 @@ REPORTING = frozenset("said says say wrote writes called calls quote quotes quot
 ADDRESS = frozenset("you your youre yourself u ur du dich dir dein deine ihr euch tu te toi ton ta vous votre tú ti usted ustedes vosotros eres".split())
 OPENING, CLOSING = "\"“„«‹”", "\"”“»›"
 WINDOW = 5
-FEATURES = ("exact", "stem", "fuzzy", "quoted", "density", "length")
+FEATURES = ("exact", "stem", "fuzzy", "quoted", "density", "strongest")
 
 
 def tokens_of(text: str) -> list[str]:
@@ -57,9 +58,9 @@ class Matcher:
 
     MAX_STATES = 200_000
 
-    def __init__(self, words: dict[str, float], stems: dict[str, float]):
-        """Strengths of words and stems; only strong words are looked for with edits."""
-        self.words, self.strengths = words, stems
+    def __init__(self, words: dict[str, float], stems: dict[str, float], ordinary: Iterable[str] = ()):
+        """Strengths of words and stems; only strong words are looked for with edits, and ``ordinary`` words are never taken for misspelled ones."""
+        self.words, self.strengths, self.ordinary = words, stems, set(ordinary)
         self.children: list[dict[str, int]] = [{}]
         self.word: list[int] = [-1]  # edits that a term ending here may have
         self.stem: list[bool] = [False]
@@ -163,7 +164,7 @@ class Matcher:
             return "stem", strength
         if word:
             return "exact", word
-        return ("fuzzy", 1.0) if at != dead and self.accepts[at] >= 0 else None
+        return ("fuzzy", 1.0) if at != dead and self.accepts[at] >= 0 and token not in self.ordinary else None
 
 
 # --- learning ------------------------------------------------------------------------------------------------
@@ -215,8 +216,8 @@ def learn_lexicon(texts: dict[str, int], max_terms: int) -> tuple[dict[str, floa
             found.append((-x * odds, key if isinstance(key, str) else key[0], isinstance(key, str), odds))
     found.sort()
     found = found[:max_terms]
-    top = max((odds for *_, odds in found), default=1.0)
-    strength = lambda odds: (odds / top) ** 2
+    top = min(6.0, max((odds for *_, odds in found), default=1.0))
+    strength = lambda odds: min(1.0, odds / top) ** 4
     return {k: strength(o) for _, k, word, o in found if word}, {k: strength(o) for _, k, word, o in found if not word}
 
 
@@ -242,7 +243,7 @@ def features_of(text: str, matcher: Matcher, clean: set[str]) -> list[float] | N
     if not hits:
         return None
     weight = {"exact": 0.0, "stem": 0.0, "fuzzy": 0.0}
-    quoted = 0.0
+    quoted = strongest = 0.0
     for i, m in enumerate(TOKEN.finditer(text)):
         if (hit := hits.get(m[0])) is None:
             continue
@@ -251,8 +252,10 @@ def features_of(text: str, matcher: Matcher, clean: set[str]) -> list[float] | N
         addressed = any(w in ADDRESS for w in tokens[max(0, i - WINDOW) : i + WINDOW + 1])
         weight[kind] += strength * (1 - share) * (1.5 if addressed else 1.0)
         quoted += strength * share
+        if kind != "fuzzy":
+            strongest = max(strongest, strength * (1 - share))
     found = sum(weight.values())
-    return [math.log1p(weight["exact"]), math.log1p(weight["stem"]), math.log1p(weight["fuzzy"]), math.log1p(quoted), found / len(tokens), math.log1p(len(tokens)) * (found > 0)]
+    return [math.log1p(weight["exact"]), math.log1p(weight["stem"]), math.log1p(weight["fuzzy"]), math.log1p(quoted), found / len(tokens), strongest]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 60) -> np.ndarray:
@@ -279,13 +282,46 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000, max_terms: in
     own = own.withColumnRenamed("doc_id", "_id").orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
     rows = only(docs, "doc_id", "text").join(F.broadcast(own), F.col("doc_id") == F.col("_id")).where("text is not null").select("text", "_toxic")
     texts = dict(sorted((r.text.lower(), r._toxic) for r in rows.limit(2 * max_rows).toLocalIterator()))  # each text once
+    return fit_texts(texts, max_terms)
+
+
+def misspelled(text: str, words: dict[str, float], rng: random.Random) -> str:
+    """The text with its lexicon words misspelled by one edit each."""
+
+    def edit(m: re.Match) -> str:
+        t = m[0]
+        if t not in words or not allowed_edits(len(t)):
+            return t
+        k = rng.randrange(1, len(t))
+        letter = rng.choice("abcdefghijklmnopqrstuvwxyz")
+        return rng.choice([t[:k] + t[k + 1 :], t[:k] + letter + t[k:], t[:k] + letter + t[k + 1 :], t[: k - 1] + t[k] + t[k - 1] + t[k + 1 :]])
+
+    return TOKEN.sub(edit, text)
+
+
+def fit_texts(texts: dict[str, int], max_terms: int = 1_000) -> dict:
+    """A model from lower-cased texts and their labels. Labelled texts hold few misspellings, so each toxic text is learned from once more with its terms misspelled; words of clean texts that are near a term are noted as ordinary, from one half of them for learning how far the matcher can be trusted on the other."""
     words, stems = learn_lexicon(texts, max_terms)
     if not words and not stems:
-        return {"words": {}, "stems": {}, "weights": None}
-    matcher, clean = Matcher(words, stems), set()
-    x = np.array([features_of(t, matcher, clean) or [0.0] * len(FEATURES) for t in texts], float)
-    y = np.array(list(texts.values()), float)
-    return {"words": words, "stems": stems, "weights": fit_logistic(x, y).tolist()}
+        return {"words": {}, "stems": {}, "ordinary": [], "weights": None}
+    rng = random.Random(1)
+    clean = [t for t, y in texts.items() if not y]
+    toxic = [t for t, y in texts.items() if y]
+
+    def near_words(some: list[str]) -> set[str]:
+        m, none, out = Matcher(words, stems), set(), set()
+        for text in some:
+            for t in set(TOKEN.findall(text)) - none:
+                found = m.match(t)
+                (out if found and found[0] == "fuzzy" else none).add(t)
+        return out
+
+    first = near_words(clean[::2])
+    matcher, none = Matcher(words, stems, first), set()
+    learned = [(t, 0) for t in clean[1::2]] + [(t, 1) for t in toxic] + [(misspelled(t, words, rng), 1) for t in toxic]
+    x = np.array([features_of(t, matcher, none) or [0.0] * len(FEATURES) for t, _ in learned], float)
+    weights = fit_logistic(x, np.array([y for _, y in learned], float))
+    return {"words": words, "stems": stems, "ordinary": sorted(first | near_words(clean[1::2])), "weights": weights.tolist()}
 
 
 # --- scoring -------------------------------------------------------------------------------------------------
@@ -296,7 +332,7 @@ _ready: dict[int, tuple] = {}
 def _scorer(model: dict):
     if id(model) not in _ready:
         _ready.clear()
-        _ready[id(model)] = (model, Matcher(model["words"], model["stems"]), set())
+        _ready[id(model)] = (model, Matcher(model["words"], model["stems"], model["ordinary"]), set())
     _, matcher, clean = _ready[id(model)]
     weights = np.array(model["weights"] or [0.0] * len(FEATURES) + [-30.0])
     nothing = float(1 / (1 + math.exp(-weights[-1])))

@@ -126,3 +126,21 @@ def test_pipeline_against_its_stages(spark):
     d = stage(3, c)
     assert ids(d) == ids(decontaminate.decontaminate(c, table(spark, SF, "benchmark")).where("not contaminated"))
     assert ids(d) == ids(corpus_pipeline.run(spark, SF)) and 0 < d.count() < docs.count()
+
+
+def test_misspelled_terms_are_caught(spark):
+    rng = random.Random(8)
+    texts = {}
+    word = lambda: "".join(rng.choice("aeionrst") for _ in range(rng.randint(2, 6)))
+    for i in range(900):
+        w = [word() for _ in range(rng.randint(8, 50))]
+        bad = i % 5 == 0
+        if bad:
+            for _ in range(2):
+                w.insert(rng.randrange(len(w)), rng.choice(["qumzatty", "blarghish", "wuxxerly"]))
+        texts[" ".join(w)] = int(bad)
+    score = tox._scorer(tox.fit_texts(texts))
+    assert score(b"all the onset qumzatti blarghsh in one") >= 0.5
+    assert score("all the onset qumzatty in one".encode()) >= 0.5
+    assert score(b"all the onset of rain in one") < 0.5
+    assert score('they said the word "qumzatty" aloud'.encode()) < 0.5
