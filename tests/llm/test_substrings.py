@@ -58,18 +58,24 @@ def test_against_brute_force(spark, seed, crowd):
     check(spark, made(seed), 40, trigger=8, crowd=crowd)
 
 
-def test_small_segments(spark, monkeypatch):
-    monkeypatch.setattr(sub, "SEGMENT", 150)
-    rows = made(7)
-    # in this process as well: the parse of short segments gives the same windows
-    import numpy as np
-
-    for _, t in rows:
-        data = np.frombuffer(t.encode(), np.uint8)
-        if len(data) < 40:
-            continue
-        whole = {(int(s)) for _, p, lo, hi in [(0, *x) for x in zip(*sub.parse(data, np.full(len(data), len(data)), 40, 8)[1:])] for s in range(lo, hi + 1)}
-        assert whole == set(range(len(data) - 39))
+@pytest.mark.parametrize("segment", [150, 1000, 1 << 18])
+def test_parse_covers_all_windows_alike(spark, monkeypatch, segment):
+    """However texts are cut into segments, every window is in a phrase, and equal windows have one trigger."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(sub, "SEGMENT", segment)
+    texts = [t.encode() for _, t in made(7)]
+    batch = pa.RecordBatch.from_pydict({"row": list(range(len(texts))), "text": pa.array([t.decode() for t in texts])})
+    of: dict = {}
+    trigger_of: dict = {}
+    for out in sub._read_phrases(40, 8)(iter([batch])):
+        for r in out.to_pylist():
+            place, most, least = r["at"] >> 16, r["at"] >> 8 & 255, r["at"] & 255
+            for start in range(place - most, place - least + 1):
+                of.setdefault(r["row"], set()).add(start)
+                window = texts[r["row"]][start : start + 40]
+                assert len(window) == 40 and trigger_of.setdefault(window, (r["key"], place - start)) == (r["key"], place - start)
+    assert of == {i: set(range(len(t) - 39)) for i, t in enumerate(texts) if len(t) >= 40}
 
 
 def test_real_rows(spark):
