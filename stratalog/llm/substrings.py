@@ -39,10 +39,11 @@ from pyspark.sql import functions as F
 
 from .common import free_shuffles, materialize, only, release, shuffle_partitions, table, text_or_empty
 
-SEGMENT = 1 << 20  # bytes that are parsed at once
+SEGMENT = 1 << 18  # bytes that are parsed at once
 PLACE = 22  # bits for a place in them
 TRIGGER = 32
-CROWD = 4_000
+CROWD = 20_000  # different phrases of one trigger that are sorted in one task
+BLOCK = 16_000  # phrases that are sorted at once
 
 U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -319,7 +320,7 @@ def _compare(length: int, trigger: int):
         for t in _runs(it):
             held.append(t)
             size += t.num_rows
-            if size >= 4 * CROWD:
+            if size >= BLOCK:
                 yield block(held)
                 held, size = [], 0
         if held:
