@@ -105,3 +105,16 @@ def classified_findings(messages: DataFrame) -> DataFrame:
     m = m.withColumn("name", name)
     good = m.where("name IS NOT NULL").groupBy("name").agg(F.min("ordinal").alias("ordinal")).select("ordinal", F.lit("repairable").alias("kind"), "name")
     return good.unionByName(m.where("name IS NULL").select("ordinal", F.lit("unrepairable").alias("kind"), F.col("line").alias("name"))).orderBy("ordinal")
+
+
+def update_file_chunks(index: DataFrame, refs: DataFrame, path: str, new_chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A file's new version (file_path, chunk_hash, chunk_index, referenced_at, size_bytes, tier, is_new): references to hashes it no longer has go first, then the new ones are added."""
+    old = refs.where(F.col("file_path") == path)
+    gone = old.join(new_chunks.select("chunk_hash"), "chunk_hash", "left_anti").select("file_path", "chunk_hash").distinct()
+    left = refs.join(gone, ["file_path", "chunk_hash"], "left_anti")
+    index, left = add_references(index, left, new_chunks)
+    touched = gone.select("chunk_hash").withColumn("touched", F.lit(True))
+    j = index.join(touched, "chunk_hash", "left").join(live_reference_counts(left), "chunk_hash", "left")
+    n = F.when(F.col("touched"), F.coalesce("live_count", F.lit(0))).otherwise(F.col("reference_count")).cast("int")
+    out = j.withColumn("reference_count", n).where(~F.coalesce(F.col("touched") & (F.col("reference_count") == 0), F.lit(False)))
+    return out.select(*index.columns), left

@@ -737,3 +737,153 @@ def ewma(c):
     """WI3: smoothed order values of each customer, in order of date; a recurrence, tested against a plain loop."""
     o = c.table("orders").groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey", "o_totalprice"))), lambda x: x["o_totalprice"]).alias("samples"))
     return o.select("o_custkey", F.round(formats.ewma(F.col("samples")), 6).alias("ewma"), formats.connections(F.col("samples"), 4, 1, 64).alias("connections"))
+
+
+# --- more mutations, composites and texts ---
+
+
+@query("SELECT file_id, local_path FROM files UNION ALL SELECT file_id + 2000000, local_path || '.new' FROM files WHERE file_id % 5 = 0")
+def bulk_insert_files(c):
+    """MU2, MU3"""
+    new = c.files.where("file_id % 5 = 0").withColumn("file_id", F.col("file_id") + 2000000).withColumn("local_path", F.concat("local_path", F.lit(".new")))
+    return mu.insert_unique(c.files, new, "local_path").select("file_id", "local_path")
+
+
+@query("SELECT count(*) AS n FROM files WHERE false")
+def clear_files(c):
+    """MU4"""
+    return mu.cleared(c.files).agg(F.count("*").alias("n"))
+
+
+@query("SELECT file_path, chunk_hash, chunk_index, CASE WHEN chunk_index = 3 THEN TIMESTAMP '2000-01-01' ELSE referenced_at END AS referenced_at FROM (SELECT file_path, chunk_hash, chunk_index, max(referenced_at) AS referenced_at FROM chunk_file_refs GROUP BY ALL)")
+def upsert_refs(c):
+    """MU9"""
+    refs = c.chunk_file_refs.groupBy("file_path", "chunk_hash", "chunk_index").agg(F.max("referenced_at").alias("referenced_at"))
+    delta = refs.where("chunk_index = 3").withColumn("referenced_at", F.lit("2000-01-01").cast("timestamp_ntz"))
+    return mu.upsert_refs(refs, delta)
+
+
+@query("SELECT file_path, count(*) AS n FROM (SELECT * FROM chunk_file_refs UNION ALL SELECT * FROM chunk_file_refs WHERE chunk_index = 1) GROUP BY file_path")
+def append_refs(c):
+    """MU10"""
+    return c.chunk_file_refs.unionByName(c.chunk_file_refs.where("chunk_index = 1")).groupBy("file_path").agg(F.count("*").alias("n"))
+
+
+@query("SELECT n_name AS key, CASE WHEN n_nationkey % 2 = 0 THEN 'new' ELSE CAST(n_regionkey AS VARCHAR) END AS value FROM nation")
+def metadata_upsert(c):
+    """SC9, MU16"""
+    old = c.table("nation").select(F.col("n_name").alias("key"), F.col("n_regionkey").cast("string").alias("value"))
+    return mu.upsert(old, c.table("nation").where("n_nationkey % 2 = 0").select(F.col("n_name").alias("key"), F.lit("new").alias("value")), ["key"])
+
+
+@query("SELECT kind, count(*) AS n FROM (SELECT 'entry' AS kind FROM chunk_index UNION ALL SELECT 'ref' FROM chunk_file_refs UNION ALL SELECT 'summary') GROUP BY kind")
+def export_index(c):
+    """MU21"""
+    out = mu.exported_index(c.chunk_index, c.chunk_file_refs, ag.index_summary(c.chunk_index))
+    return out.groupBy(F.get_json_object("value", "$.kind").alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT local_path AS file_path, hash AS chunk_hash, chunk_index FROM files JOIN file_chunks USING (file_id)")
+def import_index(c):
+    """MU22: a snapshot without a reference list"""
+    own = c.files.select("file_id", "local_path").join(c.file_chunks, "file_id")
+    nested = own.groupBy(F.col("hash").alias("chunk_hash")).agg(F.collect_list(F.struct(F.col("local_path").alias("file_path"), "chunk_index")).alias("referencing_files"))
+    none = c.chunk_file_refs.select("file_path", "chunk_hash", "chunk_index").limit(0)
+    return mu.imported_refs(nested, none).select("file_path", "chunk_hash", "chunk_index")
+
+
+@query("SELECT 'chunks/' || p_brand || CASE WHEN p_partkey % 3 = 0 THEN '' WHEN p_partkey % 3 = 1 THEN '_v2' ELSE '_v3' END AS blob_name, p_partkey % 3 < 2 AS reused FROM part")
+def upload_names(c):
+    """MU23: two versions of each brand are stored, the third content is new"""
+    content = lambda k: (k % 3).cast("string").cast("binary")
+    p = c.table("part")
+    stored = p.select("p_brand").distinct()
+    stored = stored.select(F.concat(F.lit("chunks/"), "p_brand").alias("blob_name"), F.lit("0").cast("binary").alias("content")).union(stored.select(F.concat(F.lit("chunks/"), "p_brand", F.lit("_v2")), F.lit("1").cast("binary")))
+    up = p.select(F.col("p_brand").alias("hash"), content(F.col("p_partkey")).alias("content"))
+    return mu.upload_names(up, stored).select("blob_name", "reused")
+
+
+@query(""", up AS (SELECT local_path AS file_path, hash AS chunk_hash, chunk_index FROM files JOIN file_chunks USING (file_id) WHERE file_id % 20 = 7),
+r AS (SELECT file_path, chunk_hash, chunk_index FROM chunk_file_refs WHERE (file_path, chunk_hash, chunk_index) NOT IN (SELECT file_path, chunk_hash, chunk_index FROM up) UNION ALL SELECT * FROM up)
+SELECT chunk_hash, CASE WHEN chunk_hash IN (SELECT chunk_hash FROM up) THEN CAST((SELECT count(*) FROM r WHERE r.chunk_hash = i.chunk_hash) AS INT) ELSE reference_count END AS reference_count FROM chunk_index i""")
+def add_references(c):
+    """IX1, IX3"""
+    up = c.files.where("file_id % 20 = 7").join(c.file_chunks, "file_id").select(
+        F.col("local_path").alias("file_path"), F.col("hash").alias("chunk_hash"), "chunk_index", F.col("backed_up_at").alias("referenced_at"), F.col("length").cast("long").alias("size_bytes"), F.lit(0).alias("tier"), F.lit(False).alias("is_new")
+    )
+    return mx.add_references(c.chunk_index, c.chunk_file_refs, up)[0].select("chunk_hash", "reference_count")
+
+
+@query("SELECT chunk_hash, coalesce(tier, current_tier) AS current_tier FROM chunk_index LEFT JOIN remote_blobs ON blob_name = 'chunks/' || chunk_hash")
+def refresh_tiers(c):
+    """IX6: tiers after a migration"""
+    return mx.refreshed_tiers(c.chunk_index, c.remote_blobs).select("chunk_hash", "current_tier")
+
+
+@query("SELECT 'repairable' AS kind, 'ix_' || n_regionkey AS name FROM nation WHERE n_regionkey < 3 GROUP BY n_regionkey UNION ALL SELECT 'unrepairable', 'page ' || n_nationkey || ' is corrupt' FROM nation WHERE n_regionkey >= 3")
+def classify_findings(c):
+    """IX9, IX10"""
+    m = c.table("nation").select(F.col("n_nationkey").alias("ordinal"), F.when(F.col("n_regionkey") < 3, F.concat(F.lit("row 7 missing from index ix_"), F.col("n_regionkey").cast("string"))).otherwise(F.concat(F.lit("page "), F.col("n_nationkey").cast("string"), F.lit(" is corrupt"))).alias("message"))
+    return mx.classified_findings(m).select("kind", "name")
+
+
+@query("SELECT file_id FROM files WHERE file_id % 50 = 0 AND (file_id IN (SELECT file_id FROM file_chunks) OR blob_name <> '') AND file_id NOT IN (SELECT file_id FROM file_chunks WHERE 'chunks/' || hash NOT IN (SELECT blob_name FROM remote_blobs))")
+def delete_outcome(c):
+    """RC8: files of which no blob failed"""
+    work = rc.delete_worklist(c.files, c.file_chunks, c.files.where("file_id % 50 = 0").select("file_id"))
+    failed = work.where("label = 'chunk'").select("blob_name").join(c.remote_blobs, "blob_name", "left_anti")
+    return rc.deleted_files(work, failed)
+
+
+@query("SELECT o_orderstatus AS s, CASE o_orderstatus WHEN 'F' THEN '⚠️ WARNING: ' || n || ' file(s) will be PERMANENTLY deleted from remote storage. This cannot be undone!' WHEN 'O' THEN '⚠️ ' || n || ' existing file(s) will be overwritten.' ELSE 'ℹ️ ' || n || ' file(s) will be uploaded to remote storage.' END AS warning FROM (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1)")
+def operation_warnings(c):
+    """RC11, SF22"""
+    s, zero = F.col("o_orderstatus"), F.lit(0)
+    n = c.table("orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+    text = rc.warning(F.when(s == "F", "delete_remote").otherwise("backup"), F.when(s == "P", F.col("n")).otherwise(zero), F.when(s == "O", F.col("n")).otherwise(zero), F.when(s == "F", F.col("n")).otherwise(zero))
+    return n.select(s.alias("s"), text.alias("warning"))
+
+
+@query("SELECT doc_id, sha256(text) AS digest, true AS ok FROM documents")
+def envelope_round_trip(c):
+    """SF3, SF13, SF14: sealed with a random nonce and read again"""
+    key = F.lit(bytearray(b"0123456789abcdef0123456789abcdef"))
+    d = c.table("documents").select("doc_id", hashing.seal(F.col("text"), key).alias("sealed"))
+    return d.select("doc_id", F.sha2(hashing.unseal(F.col("sealed"), key), 256).alias("digest"), hashing.envelope_ok(F.col("sealed")).alias("ok"))
+
+
+@query("SELECT doc_id, CAST(ceil(octet_length(encode(text)) / 1000.0) AS BIGINT) AS pieces, upper(sha256(text)) AS hash FROM documents")
+def restore_from_pieces(c):
+    """SC17, IN7, IN8: contents cut into pieces, read as ranges, put together again"""
+    d = c.table("documents").select("doc_id", F.col("text").cast("binary").alias("content"))
+    n = F.ceil(F.octet_length("content") / 1000).cast("int")
+    p = d.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: lo.read_range(F.col("content"), i * 1000, F.lit(1000)))).alias("chunk_order", "plain"))
+    p = p.withColumn("hash", hashing.sha256_hex(F.col("plain")))
+    chunks = p.select(F.col("doc_id").alias("file_id"), "chunk_order", F.octet_length("plain").alias("length"), "hash")
+    bodies = p.groupBy(F.col("hash").alias("chunk_hash")).agg(F.first("plain").alias("plain"))
+    return it.best_effort(chunks, bodies).select(F.col("file_id").alias("doc_id"), F.col("chunks").alias("pieces"), hashing.sha256_hex(F.col("content")).alias("hash"))
+
+
+@query("SELECT i AS index, count(*) AS n, count(DISTINCT file_id) AS files FROM (SELECT file_id, chunk_index AS i FROM file_chunks WHERE length % 3 = 0) GROUP BY i")
+def corruption_patterns(c):
+    """TM5"""
+    r = c.file_chunks.where("length % 3 = 0").groupBy("file_id").agg(F.collect_list("chunk_index").alias("crc_failed_indices"))
+    return tm.corruption_patterns(r.select(F.lit("corruption").alias("type"), F.col("file_id").cast("string").alias("path"), "crc_failed_indices"))
+
+
+@query("SELECT l_returnflag AS phase, count(*) AS n, count(*) FILTER (l_linestatus = 'F' AND l_quantity > 25) AS crc_bad_but_readable FROM lineitem GROUP BY 1")
+def diagnostic_phases(c):
+    """TM8"""
+    return tm.phase_counts(c.table("lineitem").select(F.col("l_returnflag").alias("phase"), (F.col("l_linestatus") != "F").alias("crc_valid"), F.greatest(F.col("l_quantity") - 25, F.lit(0)).alias("plain_size")))
+
+
+@query("SELECT local_path AS node, false AS is_folder FROM files UNION ALL SELECT min(folder), true FROM " + _FOLDERS + " GROUP BY k")
+def tree_nodes(c):
+    """TR1, SO5, SO6"""
+    return tree.tree_nodes(c.files).select("node", "is_folder")
+
+
+@query("SELECT min(CASE WHEN stalls = 0 THEN memory_budget_mb END) AS least_budget FROM (SELECT memory_budget_mb, sum(budget_stalls) AS stalls FROM telemetry WHERE type = 'op' GROUP BY 1)")
+def least_budget(c):
+    """TM6"""
+    return tm.least_budget(c.telemetry)
