@@ -54,17 +54,23 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(text)} if text.strip() else {}
 
 
-def _noisy(name: str, attrs: dict[str, str], in_article: bool, text: str) -> bool:
+def _names(attrs: dict[str, str]) -> set[str]:
+    """Words of class and id; `no-sidebar` and the like say something about the page, not about the branch."""
+    text = re.sub(r"\b(?:has|with|without|no|hide)[-_]\w+", " ", f"{attrs.get('class', '')} {attrs.get('id', '')}".lower())
+    return set(re.split(r"[^a-z0-9]+", text))
+
+
+def _noisy(name: str, attrs: dict[str, str], in_article: bool, text: str, by_name: bool) -> bool:
     if name in NOISE or name == "article" and in_article or name == "header" and not in_article:
         return True
     if not attrs and "hidden" not in text:
         return False
     if attrs.get("role", "").lower() in NOISE_ROLES or attrs.get("aria-hidden") == "true" or re.search(r"(?:^|\s)hidden(?:\s|$|=)", text) or re.search(r"display\s*:\s*none", attrs.get("style", "")):
-        return name not in ("body", "html", "main") or False
-    if name in ("body", "html", "main", "article"):
-        return bool(name == "article" and NOISE_WORDS & set(re.split(r"[^a-z0-9]+", f"{attrs.get('class', '')} {attrs.get('id', '')}".lower())))
-    words = set(re.split(r"[^a-z0-9]+", f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()))
-    return bool(words & NOISE_WORDS) or "header" in words and not in_article
+        return name not in ("body", "html", "main")
+    if not by_name or name in ("body", "html", "main"):
+        return False
+    words = _names(attrs)
+    return bool(words & NOISE_WORDS) or "header" in words and name != "article" and not in_article
 
 
 class _Node:
@@ -76,7 +82,11 @@ class _Node:
 
 
 def blocks_of(page: str) -> list[tuple[str, int, str, str]]:
-    """Blocks of a page in order: text, 2 in an article, 1 in main, 0 elsewhere; style path; what the siblings look like."""
+    """Blocks of a page in order: text, 2 in an article, 1 in main, 0 elsewhere; style path; what the siblings look like. A page that class and id names would empty is read without them."""
+    return _blocks(page, True) or _blocks(page, False)
+
+
+def _blocks(page: str, by_name: bool) -> list[tuple[str, int, str, str]]:
     stack = [_Node("", "", False, False, False, True)]
     out: list[list] = []
     words: list[str] = []
@@ -141,7 +151,7 @@ def blocks_of(page: str) -> list[tuple[str, int, str, str]]:
             text = m["attrs"]
             attrs = _attributes(text)
         style = name + ("." + ".".join(sorted(attrs["class"].split())) if attrs.get("class") else "")
-        noise = top.noise or _noisy(name, attrs, top.article, text)
+        noise = top.noise or _noisy(name, attrs, top.article, text, by_name)
         block = name in BLOCK
         if block and not top.noise:
             flush()

@@ -48,6 +48,12 @@ def test_broken_markup():
     assert len(text_of("<p>w</p>" * 20000)) == 20000
 
 
+def test_names_that_hold_the_article():
+    assert text_of('<div class="layout no-sidebar"><p>kept</p><div class="sidebar">S</div></div>') == ["kept"]
+    assert text_of('<div class="sidebar-layout"><article><p>kept</p></article></div>') == ["kept"]
+    assert text_of('<section id="comments"><article>reader</article></section><article>own</article>') == ["own"]
+
+
 def test_site_style_tree(spark):
     """Without telling tags, what stands on every page of a host goes, and what differs stays."""
     page = lambda i, host: (i, f"https://{host}/p{i}", f'<body><div class="x1"><p>Home News</p></div><div class="x2"><p>Story {i} of {host}</p><p>More {i * i}</p></div><div class="x3"><span>Same end</span></div></body>')
