@@ -96,3 +96,36 @@ def connections(samples: Column, start: int, least: int, most: int, alpha: float
         return F.struct(F.when(a["mean"] == 0, x).otherwise(alpha * x + (1 - alpha) * a["mean"]).alias("mean"), n.cast("int").alias("n"))
 
     return F.aggregate(samples, state, step)["n"]
+
+
+LEAST_MB, DEFAULT_CAP_MB = 512, 8192
+
+
+def memory_steps(total_mb: Column) -> Column:
+    """Limits to choose from: doubling from the least on, ending with all of the memory."""
+    powers = F.transform(F.sequence(F.lit(0), F.lit(30)), lambda i: F.lit(LEAST_MB).cast("long") * F.pow(F.lit(2.0), i).cast("long"))
+    below = F.filter(powers, lambda p: p < total_mb)
+    return F.when(total_mb <= 0, F.array(F.lit(LEAST_MB).cast("long"))).otherwise(F.concat(below, F.array(total_mb.cast("long"))))
+
+
+def memory_severity(limit_mb: Column, total_mb: Column) -> Column:
+    ratio = limit_mb / total_mb
+    return F.when(total_mb <= 0, "Safe").when(ratio <= 0.5, "Safe").when(ratio <= 0.8, "Aggressive").otherwise("Dangerous")
+
+
+def default_limit(total_mb: Column) -> Column:
+    """The greatest step within a quarter of the memory, the cap at most; the cap itself if the memory is unknown."""
+    fit = F.array_max(F.filter(memory_steps(total_mb), lambda s: s <= F.floor(total_mb / 4)))
+    return F.when(total_mb <= 0, DEFAULT_CAP_MB).otherwise(F.least(F.coalesce(fit, F.lit(LEAST_MB)), F.lit(DEFAULT_CAP_MB)))
+
+
+def progress_text(done: Column, total: Column, seconds: Column) -> Column:
+    """Speed and time left, `1 MB/s, 10s remaining`; without time left once all is done."""
+    speed = done / seconds
+    left = F.when((speed > 0) & (total > done), F.concat(F.lit(", "), format_duration((total - done) / speed), F.lit(" remaining"))).otherwise("")
+    return F.when((seconds > 0) & (done > 0), F.concat(format_bytes(speed.cast("long")), F.lit("/s"), left)).otherwise("")
+
+
+def detail_json(**values: Column) -> Column:
+    """A JSON object of typed scalars; nulls are kept."""
+    return F.to_json(F.struct(*[v.alias(k) for k, v in values.items()]), {"ignoreNullFields": "false"})

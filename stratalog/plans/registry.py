@@ -46,7 +46,7 @@ def sql_hash(key: str) -> str:
 
 @query("SELECT file_id, local_path, status, file_size, coalesce(n, 0) AS n_chunks, coalesce(orders_of, '') AS chunk_orders FROM files LEFT JOIN (SELECT file_id, count(*) AS n, string_agg(chunk_order, ',' ORDER BY chunk_order) AS orders_of FROM file_chunks GROUP BY file_id) USING (file_id)")
 def files_with_chunks(c):
-    """SC1"""
+    """SC1, JO4, ST7"""
     return lo.nested_files(c.files, c.file_chunks).select("file_id", "local_path", "status", "file_size", F.size("chunks").cast("long").alias("n_chunks"), F.array_join(F.transform("chunks", lambda x: x["chunk_order"].cast("string")), ",").alias("chunk_orders"))
 
 
@@ -887,3 +887,93 @@ def tree_nodes(c):
 def least_budget(c):
     """TM6"""
     return tm.least_budget(c.telemetry)
+
+
+# --- configuration, retention, small texts ---
+
+
+@query("SELECT 'stamp' || k AS stamp, db, salt FROM (SELECT s_suppkey AS k, 'db' || s_suppkey AS db, 'salt' || s_suppkey AS salt FROM supplier WHERE s_suppkey % 3 = 0 AND s_suppkey % 2 = 0) ORDER BY 'stamp' || k DESC LIMIT 1")
+def newest_quarantined_pair(c):
+    """JO13"""
+    k = F.col("s_suppkey")
+    side = lambda name, n: c.table("supplier").where(k % n == 0).select(F.concat(F.lit("stamp"), k.cast("string")).alias("stamp"), F.concat(F.lit(name), k.cast("string")).alias(name))
+    return jo.newest_pair(side("db", 3), side("salt", 2))
+
+
+@query("SELECT count(*) AS folders, string_agg(CASE WHEN path LIKE '%URGENT%' THEN path END, ',' ORDER BY \"ordinal\") AS urgent, '*.x' AS first_pattern FROM folders")
+def configuration(c):
+    """SC8, MU15: saved whole, read as one row"""
+    f = c.folders.withColumnRenamed("ordinal", "id")
+    excludes = c.spark.createDataFrame([(2, 1, "*.y", 0), (1, 1, "*.x", 0), (3, 2, "sub", 1)], "id int, folder_id int, pattern string, kind int")
+    globs = c.spark.createDataFrame([(1, "*.tmp")], "id int, pattern string")
+    cfg = lo.configuration(c.spark.createDataFrame([(1,)], "sid int"), mu.replace_rows(f.limit(0), f), excludes, globs)
+    urgent = F.filter("folders", lambda x: x["path"].contains("URGENT"))
+    return cfg.select(F.size("folders").cast("long").alias("folders"), F.array_join(F.transform(urgent, lambda x: x["path"]), ",").alias("urgent"), F.col("folders")[0]["exclude_patterns"][0].alias("first_pattern"))
+
+
+@query("SELECT event_id FROM events WHERE CAST(ts AS DATE) > DATE '2024-01-20' - 15")
+def telemetry_retention(c):
+    """MU20"""
+    return mu.retain_days(c.table("events").withColumnRenamed("ts", "timestamp"), "2024-01-20", 15).select("event_id")
+
+
+@query("SELECT file_id, file_id % 3 = 0 AND file_size <= 300000 AS included FROM files")
+def bundle_members(c):
+    """MU25"""
+    path = F.when(F.col("file_id") % 3 == 0, F.concat(F.lit("x/logs/"), F.col("file_id").cast("string"), F.lit(".log"))).when(F.col("file_id") % 3 == 1, "x/logs/secret.log").otherwise("x/data.bin")
+    return mu.bundle_members(c.files.select("file_id", path.alias("path"), F.col("file_size").alias("length")), 300_000).select("file_id", "included")
+
+
+@query("SELECT file_id, last_modified FROM files WHERE status = 2 ORDER BY last_modified DESC, file_id LIMIT 25")
+def newest_files(c):
+    """SO4"""
+    return c.files.where("status = 2").orderBy(F.desc("last_modified"), "file_id").limit(25).select("file_id", "last_modified")
+
+
+@query("SELECT o_custkey, CASE WHEN count(DISTINCT o_orderpriority) = 1 THEN 'C:/data/' || min(o_orderpriority) || '/c' || o_custkey ELSE 'C:/data' END AS root FROM orders GROUP BY o_custkey")
+def common_roots(c):
+    """SF9"""
+    f = c.files.select("local_path", F.regexp_extract("local_path", r"/c(\d+)/", 1).cast("long").alias("o_custkey"))
+    return f.groupBy("o_custkey").agg(F.array_sort(F.collect_set("local_path")).alias("p")).select("o_custkey", paths.common_root(F.col("p")).alias("root"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate END AS stamp FROM orders")
+def quarantine_stamps(c):
+    """SF15"""
+    name = F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "'db.'yyyyMMdd-HHmmss'.bad'")).otherwise("db.bad")
+    return c.table("orders").select("o_orderkey", formats.stamp(name).cast("timestamp_ntz").alias("stamp"))
+
+
+@query("""SELECT file_id, '{"chunkIndex":' || file_id || ',"hash":' || CASE WHEN status = 2 THEN '"' || file_hash || '"' ELSE 'null' END || '}' AS detail FROM files""")
+def failure_details(c):
+    """SF16"""
+    return c.files.select("file_id", formats.detail_json(chunkIndex=F.col("file_id"), hash=F.when(F.col("status") == 2, F.col("file_hash"))).alias("detail"))
+
+
+@query("SELECT p_partkey, p_size IN (8, 29, 42) AS transient, greatest(0, p_size - greatest(0, 20 - 5) - 3 - 1) AS unaccounted, CASE WHEN p_size / 50.0 <= 0.5 THEN 'Safe' WHEN p_size / 50.0 <= 0.8 THEN 'Aggressive' ELSE 'Dangerous' END AS severity FROM part")
+def small_classifiers(c):
+    """SF17, SF18, SF21"""
+    s = F.col("p_size")
+    code = F.when(s == 8, 408).when(s == 29, 429).when(s == 42, 503).otherwise(s + 200)
+    return c.table("part").select("p_partkey", formats.transient_status(code).alias("transient"), formats.unaccounted_memory(s, F.lit(20), F.lit(5), F.lit(3), F.lit(1)).alias("unaccounted"), formats.memory_severity(s, F.lit(50)).alias("severity"))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey = 0 THEN '' ELSE '1 KB/s, ' || (s_suppkey % 50 + 1) || 's remaining' END AS progress FROM supplier")
+def progress_texts(c):
+    """SF19, ST8"""
+    k = F.col("s_suppkey")
+    return c.table("supplier").select(k, formats.progress_text(k * 1024, (k + k % 50 + 1) * 1024, k.cast("double")).alias("progress"))
+
+
+@query("SELECT c_custkey, c_custkey % 3 = 0 AS strong FROM customer")
+def password_policy(c):
+    """SF20"""
+    k = F.col("c_custkey")
+    p = F.when(k % 3 == 0, F.concat(F.lit("Abcdefghijk-"), k.cast("string"))).when(k % 3 == 1, F.concat(F.lit("abcdefghijk-"), k.cast("string"))).otherwise(F.concat(F.lit("Ab-"), (k % 10).cast("string")))
+    return c.table("customer").select(k, formats.strong_password(p).alias("strong"))
+
+
+@query(None)
+def path_keyed_digests(c):
+    """SF4: HMAC-SHA-256 of each path; tests hold it against the standard library."""
+    return c.files.select("file_id", hashing.hmac_sha256_hex(b"k" * 32, F.col("local_path")).alias("hmac"))

@@ -134,3 +134,10 @@ def test_ewma_and_connections(spark):
     for (mean, n), r in zip(got, rows):
         want = plain_aimd(r, 4, 1, 6)
         assert abs(mean - want[0]) < 1e-9 and n == want[1]
+
+
+def test_memory_limits(spark):
+    t = F.col("t")
+    got = values(spark, [(0,), (512,), (16384,), (12000,), (65536,), (600,)], "t long", formats.memory_steps(t), formats.default_limit(t))
+    assert got == [([512], 8192), ([512], 512), ([512, 1024, 2048, 4096, 8192, 16384], 4096), ([512, 1024, 2048, 4096, 8192, 12000], 2048), ([512 << k for k in range(8)], 8192), ([512, 600], 512)]
+    assert values(spark, [(5, 10), (8, 10), (9, 10), (9, 0)], "l long, t long", formats.memory_severity(F.col("l"), t)) == [("Safe",), ("Aggressive",), ("Dangerous",), ("Safe",)]
