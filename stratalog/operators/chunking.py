@@ -47,35 +47,28 @@ def profile(path: Column, size: Column) -> Column:
     return F.when(size > LARGE_FROM, s(LARGE)).otherwise(out)
 
 
-_weights: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _weights or len(_weights[0]) < n:
-        _weights.clear()
-        for b in (BASE, pow(BASE, -1, 1 << 32)):
-            p = np.full(max(n, 1 << 16), b, np.uint32)
-            p[0] = 1
-            _weights.append(np.multiply.accumulate(p, dtype=np.uint32))
-    return _weights[0][:n], _weights[1][:n]
+BLOCK = 1 << 18  # bytes that are hashed at once; the arrays stay in a core's cache
+#: Powers of the inverse of 31, modulo 2^32.
+_DOWN = np.multiply.accumulate(np.concatenate(([1], np.full(BLOCK + WINDOW, pow(BASE, -1, 1 << 32)))).astype(np.uint32), dtype=np.uint32)
 
 
 def cut_points(data: bytes, least: int, most: int, bits: int) -> list[int]:
-    """Ends of the chunks of ``data``."""
+    """Ends of the chunks of ``data``; ``least`` is not below the window."""
     n = len(data)
     if n <= least:
         return [n]
-    places: list[np.ndarray] = []
-    block = 4 * MB
+    if least < WINDOW:
+        raise ValueError("chunks are not shorter than the window")
+    places: list[np.ndarray] = [np.empty(0, np.int64)]
     raw = np.frombuffer(data, np.uint8)
-    for a in range(0, n, block):  # running sums over a block and the window before it
-        lo = max(0, a - WINDOW)
-        up, down = _powers(min(n, a + block) - lo)
-        sums = np.zeros(len(up) + 1, np.uint32)
-        np.cumsum(raw[lo : lo + len(up)] * down, dtype=np.uint32, out=sums[1:])
-        i = np.arange(a - lo, len(up))
-        h = (sums[i + 1] - sums[np.maximum(i + 1 - WINDOW, 0)]) * up[i]
-        places.append(np.flatnonzero(h & np.uint32((1 << bits) - 1) == 0) + a)
+    mask = np.uint32((1 << bits) - 1)
+    for a in range(0, n, BLOCK):
+        lo = max(0, a - WINDOW + 1)
+        piece = raw[lo : a + BLOCK]
+        sums = np.zeros(len(piece) + 1, np.uint32)
+        np.cumsum(piece * _DOWN[: len(piece)], dtype=np.uint32, out=sums[1:])
+        # the hash is this times an odd power: its low bits are zero exactly if these are
+        places.append(np.flatnonzero((sums[WINDOW:] - sums[:-WINDOW]) & mask == 0) + (lo + WINDOW - 1))
     zero = np.concatenate(places)
     ends, start = [], 0
     while start < n:

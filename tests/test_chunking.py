@@ -67,7 +67,7 @@ def test_against_plain_loop(seed):
 def test_blocks_join_up(monkeypatch):
     data = xorshift(40_000, 99)
     want = cd.cut_points(data, 64, 2048, 8)
-    monkeypatch.setattr(cd, "MB", 1000)  # blocks of 4,000 bytes
+    monkeypatch.setattr(cd, "BLOCK", 1000)
     assert cd.cut_points(data, 64, 2048, 8) == want == plain_cuts(data, 64, 2048, 8)
 
 
