@@ -44,13 +44,18 @@ def incomplete_files(files: DataFrame, chunks: DataFrame, missing: DataFrame) ->
     return files.join(chunks.join(missing, "hash", "left_semi"), "file_id", "left_semi")
 
 
-def collectable_orphans(files: DataFrame, chunks: DataFrame, blobs: DataFrame) -> DataFrame:
-    """Blobs in store that only incomplete files use."""
-    bad = incomplete_files(files, chunks, missing_chunks(chunks, blobs)).select("file_id")
+def incomplete_ids(chunks: DataFrame, blobs: DataFrame) -> DataFrame:
+    """Ids of files with a chunk that no blob holds; the chunk table is read once."""
     there = blobs.where(F.col("blob_name").startswith("chunks/")).select(F.substring("blob_name", 8, 1000).alias("hash"))
-    of_bad = chunks.join(bad, "file_id", "left_semi").select("hash").distinct()
-    of_good = chunks.join(bad, "file_id", "left_anti").select("hash")
-    return of_bad.join(of_good, "hash", "left_anti").join(there, "hash", "left_semi")
+    return chunks.join(there, "hash", "left_anti").select("file_id").distinct()
+
+
+def collectable_orphans(chunks: DataFrame, blobs: DataFrame) -> DataFrame:
+    """Blobs in store that only incomplete files use: whether all users of a hash are incomplete is one aggregation."""
+    bad = incomplete_ids(chunks, blobs).withColumn("bad", F.lit(True))
+    there = blobs.where(F.col("blob_name").startswith("chunks/")).select(F.substring("blob_name", 8, 1000).alias("hash"))
+    users = chunks.select("file_id", "hash").join(bad, "file_id", "left").groupBy("hash").agg(F.min(F.coalesce("bad", F.lit(False))).alias("all_bad"))
+    return users.where("all_bad").select("hash").join(there, "hash", "left_semi")
 
 
 def removed_hashes(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import path_key
 from .aggregates import live_reference_counts
-from .joins import collectable_orphans, incomplete_files, missing_chunks
+from .joins import collectable_orphans, incomplete_ids
 from .mutations import upsert_refs
 
 
@@ -57,7 +57,7 @@ def rebuild_references(files: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def rebuilt_index(files: DataFrame, chunks: DataFrame, blobs: DataFrame) -> DataFrame:
     """The index out of files and the blob listing: incomplete files don't count; size and tier come from the listing, else from the chunk; the first uploader is the first path."""
-    whole = files.join(incomplete_files(files, chunks, missing_chunks(chunks, blobs)).select("file_id"), "file_id", "left_anti")
+    whole = files.join(incomplete_ids(chunks, blobs), "file_id", "left_anti")
     own = whole.select("file_id", "local_path").join(chunks, "file_id")
     g = own.groupBy(F.col("hash").alias("chunk_hash")).agg(F.count("*").cast("int").alias("reference_count"), F.min("local_path").alias("original_uploader_path"), F.max("length").alias("length"))
     there = blobs.where(F.col("blob_name").startswith("chunks/")).select(F.substring("blob_name", 8, 1000).alias("chunk_hash"), F.col("size_bytes").alias("stored"), "tier")
@@ -66,9 +66,9 @@ def rebuilt_index(files: DataFrame, chunks: DataFrame, blobs: DataFrame) -> Data
 
 def rebuild_deletions(files: DataFrame, chunks: DataFrame, blobs: DataFrame) -> DataFrame:
     """Blobs that a rebuild removes: metadata of incomplete files, and chunks that only they use; with labels."""
-    bad = incomplete_files(files, chunks, missing_chunks(chunks, blobs))
+    bad = files.join(incomplete_ids(chunks, blobs), "file_id", "left_semi")
     meta = bad.select("blob_name", F.regexp_extract("local_path", r"([^/\\]*)$", 1).alias("label"))
-    orphan = collectable_orphans(files, chunks, blobs)
+    orphan = collectable_orphans(chunks, blobs)
     return meta.unionByName(orphan.select(F.concat(F.lit("chunks/"), "hash").alias("blob_name"), F.concat(F.left("hash", F.lit(8)), F.lit("...")).alias("label")))
 
 

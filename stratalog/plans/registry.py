@@ -243,7 +243,7 @@ def incomplete_files(c):
 @query(", bad AS (SELECT DISTINCT file_id FROM file_chunks WHERE 'chunks/' || hash NOT IN (SELECT blob_name FROM remote_blobs)) SELECT DISTINCT hash FROM file_chunks WHERE file_id IN (SELECT file_id FROM bad) AND hash NOT IN (SELECT hash FROM file_chunks WHERE file_id NOT IN (SELECT file_id FROM bad)) AND 'chunks/' || hash IN (SELECT blob_name FROM remote_blobs)")
 def collectable_orphans(c):
     """JO10, SE3"""
-    return jo.collectable_orphans(c.files, c.file_chunks, c.remote_blobs)
+    return jo.collectable_orphans(c.file_chunks, c.remote_blobs)
 
 
 @query("SELECT file_id, chunk_order, hash FROM file_chunks WHERE file_id % 2 = 0 AND hash NOT IN (SELECT hash FROM file_chunks WHERE file_id % 2 = 1)")
