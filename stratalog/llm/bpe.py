@@ -34,7 +34,8 @@ NEWER_NUMBERS = "\U00011de0-\U00011de9\U0001246f\U00012475-\U0001247f\U00012550-
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 PATTERN_NEWER = r"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?[\p{L}--[_L]]+| ?[\p{N}--[_N]]+| ?[[^\p{White_Space}\p{L}\p{N}]||[_L_N]]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+".replace("_L", NEWER_LETTERS).replace("_N", NEWER_NUMBERS)
 _MAYBE_NEWER = re.compile(rb"[\xd5-\xff]").search
-MEMORY = 500_000  # pre-tokens, and pairs, that a worker remembers
+MEMORY = 250_000  # pre-tokens that a worker remembers of late; as many again from before
+PAIRS = 400_000  # token pairs that it remembers
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -119,7 +120,7 @@ class Tokenizer:
                 key = last[before] * top + token
                 ok = pairs.get(key)
                 if ok is None:
-                    if len(pairs) >= MEMORY:
+                    if len(pairs) >= PAIRS:
                         pairs.clear()
                     ok = pairs[key] = compatible(last[before], token)
                 if not ok:
@@ -134,7 +135,7 @@ class Tokenizer:
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
         if len(self.known) > MEMORY:
-            self.known.clear()
+            self.known.turn()
         get = self.known.__getitem__
         if self.added_split is None or not any(s in text for s in self.added):
             return b"".join(map(get, self.pre_tokens(text)))
@@ -153,13 +154,22 @@ class Tokenizer:
 
 
 class _Known(dict):
+    """Ids of pre-tokens seen of late. What is full becomes the memory from before, out of which words come back when they are met again, so that frequent ones stay."""
+
     def __init__(self, tokenizer: Tokenizer):
-        self.tokenizer = tokenizer
+        self.tokenizer, self.before = tokenizer, {}
 
     def __missing__(self, word: str) -> bytes:
-        out = self[word] = self.tokenizer.encode_pre_token(word.encode())
+        out = self.before.get(word)
+        if out is None:
+            out = self.tokenizer.encode_pre_token(word.encode())
+        self[word] = out
         return out
 
+    def turn(self) -> None:
+        self.before = dict(self)
+        self.clear()
+
 
 _loaded: dict[str, Tokenizer] = {}
 
