@@ -33,10 +33,14 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_written: list[str] = []
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write ``df`` as a scratch table and read it back."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/stratalog-{label}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     # the schema is known: no job to infer it, and an empty table stays readable
     out = spark.read.schema(df.schema).parquet(path)
@@ -44,14 +48,22 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def release(*frames: DataFrame) -> None:
-    """Delete scratch tables that nothing reads any more, and let Spark drop their shuffle files."""
+    """Delete scratch tables that nothing reads any more."""
     for df in frames:
         if path := getattr(df, "scratch_path", None):
-            spark = df.sparkSession
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(df.sparkSession, path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all scratch tables that this process wrote: for the end of a job, when its results are stored."""
+    while _written:
+        _delete(spark, _written.pop())
 
 
 def free_shuffles(spark: SparkSession) -> None:

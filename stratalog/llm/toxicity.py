@@ -338,7 +338,7 @@ def _scorer(model: dict):
     nothing = float(1 / (1 + math.exp(-weights[-1])))
 
     def score(text: bytes | None) -> float:
-        if len(clean) > 300_000:
+        if len(clean) > 150_000:
             clean.clear()
         x = features_of(text.decode().lower(), matcher, clean) if text else None
         return nothing if x is None else float(1 / (1 + math.exp(-min(30.0, max(-30.0, float(np.dot(weights[:-1], x) + weights[-1]))))))
