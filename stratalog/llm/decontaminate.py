@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField, StructType
 
-from .common import only, table
+from .common import free_name, only, table
 
 #: Words are runs of `[^\x00-\x2F\x3A-\x60\x7B-\x7F]` after lower-casing A-Z: every other byte becomes a space.
 _WORD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -149,7 +149,7 @@ def _scanned(docs: DataFrame, items: DataFrame, width: int, block_chars: int, sc
     """One pass for each block of items; between passes two columns of our own hold what was hit so far."""
     spark = docs.sparkSession
     blocks = [spark.sparkContext.broadcast(b) for b in item_blocks(items, width, block_chars)]
-    hits, of = (_free_name(docs.columns, n) for n in ("_hits", "_items"))
+    hits, of = (free_name(docs.columns, n) for n in ("_hits", "_items"))
     between = StructType([*docs.schema.fields, StructField(hits, BinaryType()), StructField(of, ArrayType(StringType()))])
     df = docs
     for k, block in enumerate(blocks):
@@ -158,12 +158,6 @@ def _scanned(docs: DataFrame, items: DataFrame, width: int, block_chars: int, sc
     return df
 
 
-def _free_name(taken: list[str], name: str) -> str:
-    while name.lower() in {t.lower() for t in taken}:
-        name += "_"
-    return name
-
-
 def _pass(block, later: bool, finish, hits_name: str, items_name: str):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(block.value)

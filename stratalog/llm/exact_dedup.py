@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_shuffles, materialize, only, shuffle_partitions, table, text_or_empty
+from .common import free_name, free_shuffles, materialize, only, shuffle_partitions, table, text_or_empty
 
 ROWS_PER_OWNER = 4_000_000  # fingerprints that an owner decodes at once
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -176,13 +176,13 @@ def exact_duplicates(docs: DataFrame, rows_per_owner: int = ROWS_PER_OWNER) -> D
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    sha = F.sha2(normalized().cast("binary"), 256)
-    rows = docs.withColumn("_key", F.struct(F.col("doc_id").alias("i"), sha.alias("s")))
-    out = rows.join(kept.select(F.struct(F.col("_id").alias("i"), F.col("_sha").alias("s")).alias("_key")), "_key", "left_semi")
+    key = free_name(docs.columns, "_key")
+    kept = exact_duplicates(docs).where("kept").select(F.struct(F.col("doc_id").alias("i"), F.col("text_sha256").alias("s")).alias(key))
+    rows = docs.withColumn(key, F.struct(F.col("doc_id").alias("i"), F.sha2(normalized().cast("binary"), 256).alias("s")))
+    out = rows.join(kept, key, "left_semi")
     twins = docs.groupBy("doc_id").count().where("count > 1")
     if not twins.isEmpty():  # ids that repeat: equal rows are told apart by nothing, so one of them is taken
-        out = out.dropDuplicates(["_key"])
+        out = out.dropDuplicates([key])
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

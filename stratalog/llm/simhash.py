@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, batches, free_shuffles, materialize, only, shuffle_partitions, table
+from .common import LOWER_AZ, batches, free_name, free_shuffles, materialize, only, shuffle_partitions, table
 from .components import connected_components
 
 MOST = 2048  # rows of a bucket that are compared with one another in one go
@@ -252,11 +252,12 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, most: in
 def drop_near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3) -> DataFrame:
     """One document of each component stays, that of the smallest doc_id; all columns."""
     kept = near_duplicates(docs, words, distance).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.struct(F.col("doc_id").alias("i")).alias("_key")).distinct()
-    rows = docs.withColumn("_key", F.struct(F.col("doc_id").alias("i")))
-    out = rows.join(kept, "_key", "left_semi")
+    key = free_name(docs.columns, "_key")
+    kept = kept.select(F.struct(F.col("doc_id").alias("i")).alias(key)).distinct()
+    rows = docs.withColumn(key, F.struct(F.col("doc_id").alias("i")))
+    out = rows.join(kept, key, "left_semi")
     if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        out = out.dropDuplicates(["_key"])
+        out = out.dropDuplicates([key])
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -11,8 +11,8 @@ ODD = [
 
 def odd_documents(spark: SparkSession):
     """With columns whose names clash with those that operators use inside."""
-    rows = [(i, t, "en", k, "x", k) for k, (i, t) in enumerate(ODD)]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, row int, sha string, component int")
+    rows = [(i, t, "en", k, "x", k, "y", "z", None) for k, (i, t) in enumerate(ODD)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, row int, sha string, component int, _key string, _hits string, fp long")
 
 
 def empty_documents(spark: SparkSession):
