@@ -3,16 +3,21 @@
 1. Each page is parsed once, leniently, into blocks: the text between block-level tags, with the style path of
    the block (tags and classes from the root), the path of its parent and what the parent's children look
    like. Branches that say what they are (nav, footer, aside, form, script, role, class and id words such as
-   advert or comments, articles within articles) are left out there. A page with an article (or main) element
-   that has text gives the blocks inside; other pages give all of the body.
-2. Blocks that no article vouches for are judged by the tree of their site, the merged DOMs of a host: the
-   content importance of a style node is one less the mean entropy of its texts over the pages that have them
-   (a text on every page tells nothing), the presentation importance the entropy of the child sequences of its
-   parent. Nodes whose weighted importance is low on at least ``min_pages`` pages are branches to remove.
-
-Scale: one parse; the blocks wait in a scratch table. Statistics are counts by (host, node, text) with map-side
-combination, so a host with a third of all pages is a few rows per task; pages meet the nodes to remove by
-host in a join that adaptive execution broadcasts or splits.
+   advert or comments, articles within articles) are left out there.
+2. All blocks are judged by the tree of their site, the merged DOMs of a host, where pages with the same blocks
+   count once: the content importance of a style node is one less the mean entropy of its texts over the pages
+   that have them (a text on every page tells nothing), the presentation importance the entropy of the child
+   sequences of its parent; inside article and main it counts as full. Nodes whose weighted importance is low on
+   at least ``min_pages`` pages are branches to remove. In nodes that stay each text is judged as a leaf, with
+   full presentation importance: low ones that stand on more than half of the node's pages go. A page keeps its
+   blocks if all would go, and so do its article and main.
+3. If articles hold half of a page's text that is left, the page gives what is inside; else the same for
+   articles and main; else all of it.
+
+Scale: one parse; the blocks wait in a scratch table. Statistics are counts by (host, page, node, text) and then
+by (host, node, text) with map-side combination, so a host with a third of all pages is a few rows per task;
+pages meet the nodes and texts to remove by host in a join that adaptive execution broadcasts or splits. Nodes,
+texts and pages are told apart by 64-bit hashes.
 
 Defined cases: null html counts as empty and gives an empty text; a null or odd url is a host of its own kind
 (the empty name), whose pages are judged together; unclosed tags, comments, scripts and cut-off tags at the
@@ -22,13 +27,14 @@ are ignored. White space is Unicode white space after decoding.
 
 from __future__ import annotations
 
+import hashlib
 import html as _html
 import re
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, only, table
@@ -161,8 +167,7 @@ def _blocks(page: str, by_name: bool) -> list[tuple[str, int, str, str]]:
             stack.append(_Node(name, f"{top.path}>{style}" if block else top.path, noise, not noise and (top.article or name == "article"), top.main or name == "main" or attrs.get("role") == "main", block))
     if not stack[-1].noise:
         flush()
-    level = max((b[1] for b in out), default=0)
-    return [(text, kind, path, ",".join(sorted(set(parent.children)))) for text, kind, path, parent in out if kind == level]
+    return [(text, kind, path, ",".join(sorted(set(parent.children)))) for text, kind, path, parent in out]
 
 
 def host_of(url: str | None) -> str:
@@ -170,7 +175,27 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-_BLOCKS = "page_id {id}, url {url}, host string, blocks array<struct<text:string,kind:int,node:string,look:int,content:int>>"
+_BLOCKS = "page_id {id}, url {url}, host string, page long, blocks array<struct<text:string,kind:int,node:long,look:int,content:long>>"
+
+
+def _hash(*parts: str) -> int:
+    return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def _judged(blocks: list[tuple[str, int, str, str]], nodes: dict[str, int]) -> list[dict]:
+    """Blocks with hashes of their style nodes and texts; the first one of a node has what the node's parent looks like."""
+    out, looks = [], {}
+    for text, kind, path, look in blocks:
+        key = f"{int(kind > 0)}{path}"
+        if (node := nodes.get(key)) is None:
+            node = nodes[key] = _hash(key)
+        seen = zlib.crc32(look.encode()) - (1 << 31)
+        out.append({"text": text, "kind": kind, "node": node, "look": None, "content": _hash(key, text)})
+        first, least = looks.get(node, (out[-1], seen))
+        looks[node] = (first, min(least, seen))
+    for first, look in looks.values():
+        first["look"] = look
+    return out
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
@@ -179,36 +204,42 @@ def parse_pages(pages: DataFrame) -> DataFrame:
 
     ddl = _BLOCKS.format(id=pages.schema["page_id"].dataType.simpleString(), url=pages.schema["url"].dataType.simpleString())
     schema = to_arrow_schema(_parse_datatype_string(ddl))
-    crc = lambda s: zlib.crc32(s.encode()) - (1 << 31)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                blocks, hosts = [], []
+                blocks, hosts, nodes = [], [], {}
                 for url, page in zip(part.column("url").to_pylist(), part.column("html").to_pylist()):
                     hosts.append(host_of(url))
-                    blocks.append([{"text": t, "kind": k, "node": path if k == 0 else "", "look": crc(look) if k == 0 else 0, "content": crc(t) if k == 0 else 0} for t, k, path, look in blocks_of(page or "")])
-                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(hosts, pa.string()), pa.array(blocks, schema.field("blocks").type)], schema=schema)
+                    blocks.append(_judged(blocks_of(page or ""), nodes))
+                same = [_hash(*(str(b["content"]) for b in bs)) for bs in blocks]
+                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(hosts, pa.string()), pa.array(same, pa.int64()), pa.array(blocks, schema.field("blocks").type)], schema=schema)
 
     return only(pages, "page_id", "url", "html").mapInArrow(run, ddl)
 
 
 def low_nodes(parsed: DataFrame, min_pages: int, threshold: float, content_weight: float) -> DataFrame:
-    """(host, low): the style nodes of each host's tree that are to be removed."""
-    pages = parsed.select(F.monotonically_increasing_id().alias("page"), "host", "blocks")
-    b = pages.select("page", "host", F.explode("blocks").alias("b")).where("b.kind = 0").select("page", "host", "b.node", "b.look", "b.content")
-    b = b.groupBy("page", "host", "node", "content").agg(F.min("look").alias("look"))  # once a page
+    """(host, low): the style nodes, and the texts of other nodes, of each host's tree that are to be removed."""
+    b = parsed.select("page", "host", F.explode("blocks").alias("b")).select("page", "host", "b.node", "b.kind", "b.look", "b.content")
+    b = b.groupBy("host", "page", "node", "content").agg(F.min("look").alias("look"), F.max("kind").alias("kind"))  # once a distinct page
     per_text = b.groupBy("host", "node", "content").agg(F.count("*").alias("k"))
-    node = b.groupBy("host", "node", "page").agg(F.min("look").alias("look"))
-    looks = node.groupBy("host", "node", "look").agg(F.count("*").alias("n"))
-    looks = looks.groupBy("host", "node").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
+    looks = b.where("look is not null").groupBy("host", "node", "look").agg(F.count("*").alias("n"), F.max("kind").alias("kind"))
+    looks = looks.groupBy("host", "node").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.max("kind").alias("kind"))
+    looks = looks.where(F.col("m") >= max(2, min_pages))
     # entropy to base m, the number of pages that have the node: of child sequences, and of each text over its k pages (log k)
-    presentation = F.when(F.col("m") > 1, (F.log("m") - F.col("nlogn") / F.col("m")) / F.log("m")).otherwise(1.0)
+    presentation = F.when(F.col("kind") > 0, 1.0).otherwise((F.log("m") - F.col("nlogn") / F.col("m")) / F.log("m"))
+    importance = lambda logk, shown: content_weight * (1 - logk / F.log("m")) + (1 - content_weight) * shown
     content = per_text.groupBy("host", "node").agg(F.avg(F.log("k")).alias("logk"))
-    both = looks.join(content, ["host", "node"]).where(F.col("m") >= min_pages)
-    importance = content_weight * (1 - F.col("logk") / F.log("m")) + (1 - content_weight) * presentation
-    return both.where(importance < threshold).groupBy("host").agg(F.collect_set("node").alias("low"))
+    nodes = looks.join(content, ["host", "node"]).where(importance(F.col("logk"), presentation) < threshold)
+    texts = looks.select("host", "node", "m").join(per_text.where(F.col("k") >= min_pages), ["host", "node"])
+    texts = texts.where((importance(F.log("k"), F.lit(1.0)) < threshold) & (2 * F.col("k") > F.col("m")))
+    low = nodes.select("host", F.col("node").alias("low")).unionByName(texts.select("host", F.col("content").alias("low")))
+    return low.groupBy("host").agg(F.collect_set("low").alias("low"))
+
+
+def _chars(blocks: Column, kind: int) -> Column:
+    return F.aggregate(F.filter(blocks, lambda b: b["kind"] >= kind), F.lit(0).cast("long"), lambda n, b: n + F.length(b["text"]))
 
 
 def extract_text(pages: DataFrame, min_pages: int = 4, threshold: float = 0.4, content_weight: float = 0.7) -> DataFrame:
@@ -216,7 +247,13 @@ def extract_text(pages: DataFrame, min_pages: int = 4, threshold: float = 0.4, c
     parsed = materialize(parse_pages(pages), "html-blocks")
     low = materialize(low_nodes(parsed, min_pages, threshold, content_weight), "html-low-nodes")
     judged = parsed.join(low, "host", "left")
-    kept = F.filter("blocks", lambda b: (b["kind"] > 0) | F.col("low").isNull() | ~F.array_contains(F.col("low"), b["node"]))
+    fine = lambda b: F.col("low").isNull() | ~(F.array_contains(F.col("low"), b["node"]) | F.array_contains(F.col("low"), b["content"]))
+    # a page whose article and main would be emptied keeps them, and one that would be emptied keeps all
+    inside = F.exists("blocks", lambda b: b["kind"] > 0) & ~F.exists("blocks", lambda b: (b["kind"] > 0) & fine(b))
+    judged = judged.withColumn("inside", inside).withColumn("left", F.filter("blocks", lambda b: fine(b) | (F.col("inside") & (b["kind"] > 0))))
+    judged = judged.withColumn("left", F.when(F.size("left") == 0, F.col("blocks")).otherwise(F.col("left")))
+    judged = judged.withColumn("level", F.when(2 * _chars(F.col("left"), 2) >= _chars(F.col("left"), 0), 2).when(2 * _chars(F.col("left"), 1) >= _chars(F.col("left"), 0), 1).otherwise(0))
+    kept = F.filter("left", lambda b: b["kind"] >= F.col("level"))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
     return judged.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 

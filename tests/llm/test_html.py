@@ -72,3 +72,22 @@ def test_copies_of_an_article_on_one_host_stay(spark):
     rows = [(i, "http://h/x?r=%d" % i, "<nav>n</nav><article><p>the same text</p></article>") for i in range(10)]
     got = h.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {r.text for r in got} == {"the same text"} and len(got) == 10
+
+
+def extracted(spark, *pages):
+    """Texts of pages (url, html), in order."""
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in h.extract_text(df).orderBy("page_id").collect()]
+
+
+def test_site_style_tree_judges_articles(spark):
+    notice = "Readers of this site get the printed edition for half of the price, every week of the year."
+    page = lambda i: (f"http://h/{i}", f"<article><p>{notice}</p><p>Story {i}</p><p>{'old' if i % 2 else 'new'}</p></article>")
+    assert extracted(spark, *[page(i) for i in range(8)]) == [f"Story {i}\n{'old' if i % 2 else 'new'}" for i in range(8)]
+    assert extracted(spark, *[page(i) for i in range(3)])[0].startswith(notice)  # too few pages to tell
+
+
+def test_teaser_article_beside_the_real_text(spark):
+    real = "The real text of this page, which is far longer than the teaser."
+    assert extracted(spark, ("http://h/1", f"<article>Read more</article><div>{real}</div>")) == ["Read more\n" + real]
+    assert extracted(spark, ("http://h/1", f"<div>Read more</div><article>{real}</article>")) == [real]
