@@ -91,3 +91,16 @@ def test_teaser_article_beside_the_real_text(spark):
     real = "The real text of this page, which is far longer than the teaser."
     assert extracted(spark, ("http://h/1", f"<article>Read more</article><div>{real}</div>")) == ["Read more\n" + real]
     assert extracted(spark, ("http://h/1", f"<div>Read more</div><article>{real}</article>")) == [real]
+
+
+def test_copies_outside_articles_stay(spark):
+    same = "<div><p>One text</p><p>in two paragraphs</p></div>"
+    assert extracted(spark, *[("http://h/1", same)] * 4) == ["One text\nin two paragraphs"] * 4
+    assert extracted(spark, *[(None, same)] * 4) == ["One text\nin two paragraphs"] * 4
+    two = [(f"http://h/{i}", f"<div><p>Article {i % 2}</p><p>has text {i % 2}</p></div>") for i in range(10)]
+    assert extracted(spark, *two) == [f"Article {i % 2}\nhas text {i % 2}" for i in range(10)]
+
+
+def test_no_page_is_emptied(spark):
+    page = lambda i: (f"http://h/{i}", f"<div><p>Same head</p></div><span>{i}</span>" if i < 9 else "<div><p>Same head</p></div>")
+    assert extracted(spark, *[page(i) for i in range(10)]) == [str(i) for i in range(9)] + ["Same head"]
