@@ -3,7 +3,9 @@
 1. Each page is parsed once, leniently, into blocks: the text between block-level tags, with the style path of
    the block (tags and classes from the root), the path of its parent and what the parent's children look
    like. Branches that say what they are (nav, footer, aside, form, script, role, class and id words such as
-   advert or comments, articles within articles) are left out there.
+   advert or comments, articles within articles) are left out there. Class and id words don't remove a branch
+   that holds the only article or main, nor one that holds more than half of the page's text (unless an article or
+   main stands elsewhere and the branch is named for comments, or has no other words in its names).
 2. All blocks are judged by the tree of their site, the merged DOMs of a host, where pages with the same blocks
    count once: the content importance of a style node is one less the mean entropy of its texts over the pages
    that have them (a text on every page tells nothing), the presentation importance the entropy of the child
@@ -50,6 +52,8 @@ BLOCK = frozenset("p div h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody t
 NOISE = frozenset("head nav footer aside form button select option dialog menu input label object canvas audio video".split()) | RAW
 #: Words of class and id names, and roles, of branches that are no article text.
 NOISE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense banner banners sponsor sponsored promo promotion sidebar side rail menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup social share sharing related recommended recommendations comment comments commentlist disqus reply replies respond login search searchbox pagination pager widget skip hidden".split())
+#: Those for what readers write, which may well be more than the article.
+READERS = frozenset("comment comments commentlist disqus reply replies respond".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = BLOCK - {"body", "html", "head"}
@@ -66,58 +70,87 @@ def _names(attrs: dict[str, str]) -> set[str]:
     return set(re.split(r"[^a-z0-9]+", text))
 
 
-def _noisy(name: str, attrs: dict[str, str], in_article: bool, text: str, by_name: bool) -> bool:
+def _noisy(name: str, attrs: dict[str, str], in_article: bool, text: str) -> bool:
+    """Whether tag, role or style say that a branch is no article text."""
     if name in NOISE or name == "article" and in_article or name == "header" and not in_article:
         return True
     if not attrs and "hidden" not in text:
         return False
     if attrs.get("role", "").lower() in NOISE_ROLES or attrs.get("aria-hidden") == "true" or re.search(r"(?:^|\s)hidden(?:\s|$|=)", text) or re.search(r"display\s*:\s*none", attrs.get("style", "")):
         return name not in ("body", "html", "main")
-    if not by_name or name in ("body", "html", "main"):
-        return False
-    words = _names(attrs)
-    return bool(words & NOISE_WORDS) or "header" in words and name != "article" and not in_article
+    return False
+
+
+def _noise_names(name: str, attrs: dict[str, str], in_article: bool) -> tuple[bool, bool]:
+    """Whether words of class and id say so, and whether they say it plainly: for comments, or without other words."""
+    if not attrs or name in ("body", "html", "main"):
+        return False, False
+    words = _names(attrs) - {""}
+    noise = words & NOISE_WORDS | ({"header"} if "header" in words and name != "article" and not in_article else set())
+    return bool(noise), bool(noise) and (noise == words or bool(words & READERS))
 
 
 class _Node:
-    __slots__ = ("name", "path", "noise", "article", "main", "children", "block")
+    __slots__ = ("name", "path", "noise", "named", "article", "main", "children", "block")
 
-    def __init__(self, name: str, path: str, noise: bool, article: bool, main: bool, block: bool):
-        self.name, self.path, self.noise, self.article, self.main, self.block = name, path, noise, article, main, block
+    def __init__(self, name: str, path: str, noise: bool, named: tuple[int, ...], article: tuple[int, ...] | None, main: tuple[int, ...] | None, block: bool):
+        """``named``: the branches around that class and id words speak against; ``article``, ``main``: those around the article and main that it is in."""
+        self.name, self.path, self.noise, self.named, self.article, self.main, self.block = name, path, noise, named, article, main, block
         self.children: list[str] = []
 
 
-def blocks_of(page: str) -> list[tuple[str, int, str, str]]:
-    """Blocks of a page in order: text, 2 in an article, 1 in main, 0 elsewhere; style path; what the siblings look like. A page that class and id names would empty is read without them."""
-    return _blocks(page, True) or _blocks(page, False)
+def _dropped(out: list[tuple[list[tuple[str, _Node]], _Node, _Node]], named: list[bool]) -> set[int]:
+    """Of the branches with such class and id words, those to leave out."""
+    if not named:
+        return set()
+    chars, total, articles, mains = [0] * len(named), 0, set(), set()
+    for pieces, *_ in out:
+        for piece, node in pieces:
+            if n := len("".join(piece.split())):
+                total += n
+                for k in node.named:
+                    chars[k] += n
+                if node.article is not None:
+                    articles.add(node.article)
+                if node.main is not None:
+                    mains.add(node.main)
+    held = {k for found in (articles, mains) if () not in found for around in found for k in around}
+    elsewhere = lambda k: any(k not in around for around in articles | mains)
+    return {k for k, plainly in enumerate(named) if k not in held and (2 * chars[k] <= total or plainly and elsewhere(k))}
 
 
-def _blocks(page: str, by_name: bool) -> list[tuple[str, int, str, str]]:
-    stack = [_Node("", "", False, False, False, True)]
-    out: list[list] = []
-    words: list[str] = []
-    seen = 0
+def blocks_of(page: str) -> list[tuple[str, int, str, str]]:
+    """Blocks of a page in order: text, 2 in an article, 1 in main, 0 elsewhere; style path; what the siblings look like. A page that class and id names would empty is read without them."""
+    stack = [_Node("", "", False, (), None, None, True)]
+    out: list[tuple[list[tuple[str, _Node]], _Node, _Node]] = []
+    named: list[bool] = []
+    words: list[tuple[str, _Node]] = []
 
     def flush() -> None:
         if words:
-            text = " ".join(_html.unescape("".join(words)).split())
+            k = next(i for i in range(len(stack) - 1, -1, -1) if stack[i].block)
+            out.append((words.copy(), stack[k], stack[max(0, k - 1)]))
             words.clear()
-            if text:
-                k = next(i for i in range(len(stack) - 1, -1, -1) if stack[i].block)
-                node, parent = stack[k], stack[max(0, k - 1)]
-                out.append([text, 2 if node.article else 1 if node.main else 0, node.path, parent])
 
     def close(to: int) -> None:
         if any(n.block for n in stack[to:]):
             flush()
         del stack[to:]
 
+    def read(dropped: set[int]) -> list[tuple[str, int, str, str]]:
+        blocks = []
+        for pieces, node, parent in out:
+            text = "".join(piece for piece, of in pieces if not dropped.intersection(of.named))
+            if text := " ".join(_html.unescape(text).split()):
+                blocks.append((text, 0 if node.article is None and node.main is None else 1 if node.article is None else 2, node.path, parent))
+        return [(text, kind, path, ",".join(sorted(set(parent.children)))) for text, kind, path, parent in blocks]
+
     at = 0
     while True:
         m = _TAG.search(page, at)
         if m is None or m.start() > at:
             if not stack[-1].noise:
-                words.append(page[at:] if m is None else page[at : m.start()])
+                words.append((page[at:] if m is None else page[at : m.start()], stack[-1]))
         if m is None:
             break
         at = m.end()
@@ -135,11 +168,13 @@ def _blocks(page: str, by_name: bool) -> list[tuple[str, int, str, str]]:
             if name == "hr" and not top.noise:
                 flush()
             elif not top.noise:
-                words.append(" ")
+                words.append((" ", top))
             continue
         if name in RAW:
+            if name == "svg" and (m["attrs"] or "").rstrip().endswith("/"):
+                continue
             stop = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = stop.end() if stop else len(page)
+            at = stop.end() if stop else at if name == "svg" else len(page)
             continue
         if name in ENDS_P or name in CLOSES:
             for wanted, among in ((CLOSES.get(name), STOP_AT.get(name, set())), ({"p"} if name in ENDS_P else None, STOP_AT["p"])):
@@ -157,17 +192,24 @@ def _blocks(page: str, by_name: bool) -> list[tuple[str, int, str, str]]:
             text = m["attrs"]
             attrs = _attributes(text)
         style = name + ("." + ".".join(sorted(attrs["class"].split())) if attrs.get("class") else "")
-        noise = top.noise or _noisy(name, attrs, top.article, text, by_name)
+        noise = top.noise or _noisy(name, attrs, top.article is not None, text)
         block = name in BLOCK
         if block and not top.noise:
             flush()
         if block:
             top.children.append(style)
         if not text.rstrip().endswith("/") or block:
-            stack.append(_Node(name, f"{top.path}>{style}" if block else top.path, noise, not noise and (top.article or name == "article"), top.main or name == "main" or attrs.get("role") == "main", block))
+            around = top.named
+            found, plainly = (False, False) if noise else _noise_names(name, attrs, top.article is not None)
+            if found:
+                around = (*around, len(named))
+                named.append(plainly)
+            article = around if name == "article" and not noise else None if noise else top.article
+            main = around if name == "main" or attrs.get("role") == "main" else top.main
+            stack.append(_Node(name, f"{top.path}>{style}" if block else top.path, noise, around, article, main, block))
     if not stack[-1].noise:
         flush()
-    return [(text, kind, path, ",".join(sorted(set(parent.children)))) for text, kind, path, parent in out]
+    return read(_dropped(out, named)) or read(set())
 
 
 def host_of(url: str | None) -> str:

@@ -104,3 +104,19 @@ def test_copies_outside_articles_stay(spark):
 def test_no_page_is_emptied(spark):
     page = lambda i: (f"http://h/{i}", f"<div><p>Same head</p></div><span>{i}</span>" if i < 9 else "<div><p>Same head</p></div>")
     assert extracted(spark, *[page(i) for i in range(10)]) == [str(i) for i in range(9)] + ["Same head"]
+
+
+def test_names_that_hold_most_of_the_page():
+    assert text_of('<div class="layout sidebar-right"><article><p>kept</p></article></div><p>(c) 2024</p>') == ["kept", "(c) 2024"]
+    assert text_of('<div class="layout sidebar-right"><main><p>kept</p></main></div><p>(c) 2024</p>')[0] == "kept"
+    assert text_of('<div class="layout sidebar-right"><p>kept, as it is most of the page</p><div class="share">S</div></div><p>(c) 2024</p>') == ["kept, as it is most of the page", "(c) 2024"]
+    assert text_of('<article>own</article><div class="comments"><p>readers wrote more than the author</p></div>') == ["own"]
+    assert text_of('<article>own</article><div class="ad">far more text than that</div>') == ["own"]
+    assert text_of('<article>teaser</article><div class="layout sidebar-right">far more text than that</div>') == ["teaser", "far more text than that"]
+    assert text_of('<p>own text <span class="share">share it</span> goes on</p>') == ["own text goes on"]
+
+
+def test_svg_without_an_end_tag():
+    assert text_of('<p>one <svg class="i" /> two</p><p>three</p>') == ["one two", "three"]
+    assert text_of('<p>one <svg/> two</p><svg><text>label</text></svg><p>three</p>') == ["one two", "three"]
+    assert text_of("<p>one</p><svg><p>two</p>") == ["one", "two"]
