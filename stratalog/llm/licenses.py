@@ -3,7 +3,8 @@
 A text becomes a sequence of sentences (white space collapsed, cut after full stops, question and exclamation
 marks before a space); each normalised sentence (lower case, letters, digits, dots, plus and minus) maps to
 the identifiers of the licence sentences that it holds; the sequence of identifiers is matched against ordered
-rules, longest first, each of which names a licence. Unknown sentences part sequences.
+rules, longest first, each of which names a licence. Unknown sentences part sequences; numbers of clauses, which
+the cut makes sentences of their own, don't.
 
 DataFrame functions only: the tables below generate the column expressions and the SQL alike.
 
@@ -71,6 +72,8 @@ RULES = [
 ]
 CUE = r"(?i)licen[sc]e|permission is|redistribut|free software|creative\s+commons|cc0|hope that it|provided\s+(as|by)|rights\s+reserved|endorse|liable"
 SPLIT = r"[.!?]+ "
+#: Sentences that are only the number of a clause (digits, a letter, a small Roman number) or empty.
+ENUMERATOR = r"^[ +-]*([0-9]+([.-][0-9]+)*|[a-z]|[ivx]+)?[ +-]*$"
 ANY_RULE = "|".join(f"({r})" for _, r in RULES)
 
 
@@ -95,7 +98,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_sentences (known ones), matched (sequences), licenses (as they appear, each once)."""
     text = text_or_empty()
     rows = only(docs, "doc_id", "text").select("doc_id", F.when(text.rlike(CUE), sentences_of(text)).alias("s"))
-    rows = rows.select("doc_id", F.when(F.col("s").isNotNull(), F.flatten(F.transform("s", identifiers_of))).alias("ids"))
+    clauses = F.filter("s", lambda s: ~s.rlike(ENUMERATOR))
+    rows = rows.select("doc_id", F.when(F.col("s").isNotNull(), F.flatten(F.transform(clauses, identifiers_of))).alias("ids"))
     rows = rows.select("doc_id", F.coalesce(F.size(F.filter("ids", lambda x: x != "?")), F.lit(0)).cast("long").alias("n_sentences"), F.coalesce(F.array_join("ids", " "), F.lit("")).alias("line"))
     rows = rows.withColumn("n_sentences", F.greatest("n_sentences", F.lit(0).cast("long")))
     rows = rows.select("doc_id", "n_sentences", F.regexp_extract_all("line", F.lit(ANY_RULE), F.lit(0)).alias("matched"))

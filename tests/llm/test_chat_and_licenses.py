@@ -32,6 +32,39 @@ def test_rules(spark):
             assert got[i].licenses == want, (i, got[i])
 
 
+BSD3 = """Copyright (c) 2020, A. Holder
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES."""
+
+
+def test_numbered_clauses(spark):
+    bsd2 = BSD3[: BSD3.index("3. Neither")] + BSD3[BSD3.index("THIS SOFTWARE") :]
+    letters = BSD3.replace("1. ", "a. ").replace("2. ", "b. ").replace("3. ", "(c) ")
+    texts = [BSD3, bsd2, letters, BSD3.replace("2. Re", "An odd sentence. Re")]
+    got = {r.doc_id: r.licenses for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(4)] == [["BSD-3-Clause"], ["BSD-2-Clause"], ["BSD-3-Clause"], []]
+
+
 def test_license_odd_rows(spark):
     assert licenses.scan_licenses(odd_documents(spark)).count() == len(ODD)
     assert licenses.scan_licenses(empty_documents(spark)).count() == 0
