@@ -70,7 +70,10 @@ RULES = [
     ("CC0-1.0", "cc0"),
     ("MPL-2.0", "mpl2-ref"),
 ]
-CUE = r"(?i)licen[sc]e|permission is|redistribut|free software|creative\s+commons|cc0|hope that it|provided\s+(as|by)|rights\s+reserved|endorse|liable"
+_GAP = "[^a-z0-9.+-]+"
+#: What every text has that holds one of SENTENCES, whatever stands between the words.
+CUE = r"(?iu)licen[sc]e|permission (is|notice)|redistribut|free software|any later version|creative commons|cc by|cc0|hope that it|provided (as|by)|rights reserved|endorse|liable".replace(" ", _GAP)
+SQL_CUE = r"(?i)licen[sc]e|permission is|redistribut|free software|creative\s+commons|cc0|hope that it|provided\s+(as|by)|rights\s+reserved|endorse|liable"
 SPLIT = r"[.!?]+ "
 #: Sentences that are only the number of a clause (digits, a letter, a small Roman number) or empty.
 ENUMERATOR = r"^[ +-]*([0-9]+([.-][0-9]+)*|[a-z]|[ivx]+)?[ +-]*$"
@@ -120,7 +123,7 @@ WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text
 s AS (SELECT r, unnest(list_transform(string_split_regex(regexp_replace(lower(text), '[\\x20\\x09-\\x0D]+', ' ', 'g'), {quote(SPLIT)}),
         lambda x: regexp_replace(regexp_replace(replace(x, 'licence', 'license'), '[^a-z0-9.+-]+', ' ', 'g'), '^[ .]+|[ .]+$', '', 'g'))) AS s,
       unnest(range(len(string_split_regex(regexp_replace(lower(text), '[\\x20\\x09-\\x0D]+', ' ', 'g'), {quote(SPLIT)})))) AS k
-      FROM t WHERE regexp_matches(text, {quote(CUE)})),
+      FROM t WHERE regexp_matches(text, {quote(SQL_CUE)})),
 i AS (SELECT r, k, list_filter([{ids}], lambda x: x IS NOT NULL) AS ids FROM s),
 q AS (SELECT r, CAST(sum(len(ids)) AS BIGINT) AS n, string_agg(CASE WHEN len(ids) = 0 THEN '?' ELSE array_to_string(ids, ' ') END, ' ' ORDER BY k) AS line FROM i GROUP BY r),
 m AS (SELECT t.doc_id, coalesce(n, 0) AS n, coalesce(regexp_extract_all(line, {quote(ANY_RULE)}), []) AS ms FROM t LEFT JOIN q USING (r)),

@@ -65,6 +65,29 @@ def test_numbered_clauses(spark):
     assert [got[i] for i in range(4)] == [["BSD-3-Clause"], ["BSD-2-Clause"], ["BSD-3-Clause"], []]
 
 
+EXAMPLES = {
+    "mit-ref": "Released under the MIT Licence", "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
+    "mit-notice": "The above copyright notice and this permission notice shall be included in all copies", "mit-asis": 'The software is provided "as is", without warranty of any kind',
+    "mit-liable": "In no event shall the authors or copyright holders be liable for any claim", "apache2-ref": "Licensed under the Apache License, Version 2.0",
+    "apache2-use": "You may not use this file except in compliance with the License", "apache2-copy": "You may obtain a copy of the License at", "apache2-asis": 'Software distributed under the License is distributed on an "AS IS" basis',
+    "gpl3-ref": "Licensed under the GPL v3", "gpl2-ref": "Licensed under the GPL v2", "gpl3-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License, version 3",
+    "gpl2-free": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License, version 2", "gpl-later": "or (at your option) any later version",
+    "gpl-hope": "This program is distributed in the hope that it will be useful", "lgpl-ref": "Licensed under the LGPL", "cc-by-nc4": "available under CC BY-NC 4.0", "cc-by-sa4": "available under a CC BY-SA 4.0", "cc-by4": "available under CC BY 4.0", "cc0": "Creative Commons Zero",
+    "bsd-redist": "Redistribution and use in source and binary forms, with or without modification, are permitted", "bsd-source": "Redistributions of source code must retain the above copyright notice", "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice",
+    "bsd-endorse": "Neither the name of X may be used to endorse or promote products", "bsd-asis": 'This software is provided by the copyright holders and contributors "as is"', "mpl2-ref": "Subject to the terms of the Mozilla Public License, v. 2.0", "reserved": "All rights reserved",
+}
+
+
+def test_every_sentence_is_looked_for(spark):
+    """Whatever stands between the words; the full stop of v. 2.0 parts sentences before a space."""
+    assert list(EXAMPLES) == [i for i, _ in licenses.SENTENCES]
+    texts = [f(t) for t in EXAMPLES.values() for f in (str, str.upper, lambda t: t.replace("v. 2", "v.\u00a02").replace(" ", " \n* "))]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [t for i, t in enumerate(texts) if not got[i].n_sentences and "v. 2" not in t.lower()] == []
+    names = ["CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC-BY-4.0"]
+    assert [got[3 * (list(EXAMPLES).index(i))].licenses for i in ("cc-by-nc4", "cc-by-sa4", "cc-by4")] == [[n] for n in names]
+
+
 def test_license_odd_rows(spark):
     assert licenses.scan_licenses(odd_documents(spark)).count() == len(ODD)
     assert licenses.scan_licenses(empty_documents(spark)).count() == 0
