@@ -7,7 +7,8 @@ never inputs of a score; rows whose crc32(id) mod 5 is 0 are never learned from.
 Matching: the Levenshtein automata of all terms are intersected with the trie as one deterministic automaton,
 whose states are sets of (trie node, edits so far) and which is built as far as texts need it. A term may be
 misspelled by one edit from five letters on and by two from nine on (an exchange of neighbours is one edit);
-letters written as digits or signs are read as letters. Stems match words that begin with them.
+letters written as digits or signs are read as letters. Stems match words that begin with them, misspelled or
+not. A misspelled term has the strength of the term, the strongest of those it may be.
 
 Context: each match is weighed by a window of words around it: quotation marks and words of reporting take
 weight from it (quoted, not meant), words of address add to it.
@@ -42,7 +43,7 @@ REPORTING = frozenset("said says say wrote writes called calls quote quotes quot
 ADDRESS = frozenset("you your youre yourself u ur du dich dir dein deine ihr euch tu te toi ton ta vous votre tú ti usted ustedes vosotros eres".split())
 OPENING, CLOSING = "\"“„«‹”", "\"”“»›"
 WINDOW = 5
-FEATURES = ("exact", "stem", "fuzzy", "quoted", "density", "strongest")
+FEATURES = ("exact", "stem", "fuzzy", "quoted", "density", "strongest", "near_stem")
 
 
 def tokens_of(text: str) -> list[str]:
@@ -59,17 +60,20 @@ class Matcher:
     MAX_STATES = 200_000
 
     def __init__(self, words: dict[str, float], stems: dict[str, float], ordinary: Iterable[str] = ()):
-        """Strengths of words and stems; only strong words are looked for with edits, and ``ordinary`` words are never taken for misspelled ones."""
+        """Strengths of words and stems; ``ordinary`` words are never taken for misspelled ones."""
         self.words, self.strengths, self.ordinary = words, stems, set(ordinary)
         self.children: list[dict[str, int]] = [{}]
         self.word: list[int] = [-1]  # edits that a term ending here may have
-        self.stem: list[bool] = [False]
+        self.stem: list[int] = [-1]  # edits that a stem ending here may have
+        self.force: list[float] = [0.0]  # strengths of the term and of the stem that end here
+        self.stem_force: list[float] = [0.0]
         self.below: list[int] = [0]  # the most edits that any term through here may have
         for w, strength in words.items():
-            edits = allowed_edits(len(w)) if strength >= 0.5 * max(words.values()) else 0
-            self.word[self._add(w, edits)] = edits
-        for s in stems:
-            self.stem[self._add(s, 0)] = True
+            at = self._add(w, edits := allowed_edits(len(w)))
+            self.word[at], self.force[at] = edits, strength
+        for t, strength in stems.items():
+            at = self._add(t, edits := allowed_edits(len(t)))
+            self.stem[at], self.stem_force[at] = edits, strength
         self.reset()
 
     def _add(self, term: str, edits: int) -> int:
@@ -81,7 +85,9 @@ class Matcher:
                 nxt = self.children[at][c] = len(self.children)
                 self.children.append({})
                 self.word.append(-1)
-                self.stem.append(False)
+                self.stem.append(-1)
+                self.force.append(0.0)
+                self.stem_force.append(0.0)
                 self.below.append(0)
             at = nxt
             self.below[at] = max(self.below[at], edits)
@@ -91,8 +97,9 @@ class Matcher:
         self.ids: dict[frozenset, int] = {}
         self.states: list[frozenset] = []
         self.steps: list[dict[str, int]] = []
-        self.accepts: list[int] = []  # least edits of a term that ends here, -1: none
+        self.accepts: list[float] = []  # the greatest strength of a term that ends here, -1: none
         self.stems: list[bool] = []
+        self.near_stems: list[float] = []  # the same of a stem
         self.dead = self._state({})
         self.start = self._state(self._closed({(0, ""): 0}))
 
@@ -115,9 +122,9 @@ class Matcher:
             i = self.ids[key] = len(self.states)
             self.states.append(key)
             self.steps.append({})
-            ends = [e for (node, need), e in key if not need and 0 <= e <= self.word[node]]
-            self.accepts.append(min(ends, default=-1))
-            self.stems.append(any(e == 0 and not need and self.stem[node] for (node, need), e in key))
+            self.accepts.append(max((self.force[node] for (node, need), e in key if not need and e <= self.word[node]), default=-1.0))
+            self.stems.append(any(e == 0 and not need and self.stem[node] >= 0 for (node, need), e in key))
+            self.near_stems.append(max((self.stem_force[node] for (node, need), e in key if not need and e <= self.stem[node]), default=-1.0))
         return i
 
     def _step(self, state: int, c: str) -> int:
@@ -141,7 +148,7 @@ class Matcher:
         return i
 
     def match(self, token: str) -> tuple[str, float] | None:
-        """exact, stem or fuzzy, with the strength of what was found; or None."""
+        """exact, stem, fuzzy or near_stem, with the strength of what was found; or None."""
         if len(self.states) > self.MAX_STATES:
             self.reset()
         if not token.isalpha() and any(c.isalpha() for c in token):
@@ -151,20 +158,24 @@ class Matcher:
         return self._run(token)
 
     def _run(self, token: str) -> tuple[str, float] | None:
-        at, dead, steps, stem = self.start, self.dead, self.steps, False
+        at, dead, steps, stem, near = self.start, self.dead, self.steps, False, -1.0
         for c in token:
             nxt = steps[at].get(c)
             at = self._step(at, c) if nxt is None else nxt
+            if at == dead:
+                break
             if self.stems[at]:
                 stem = True
-            elif at == dead:
-                break
+            if self.near_stems[at] > near:
+                near = self.near_stems[at]
         word = self.words.get(token, 0.0)
         if stem and (strength := max(v for s, v in self.strengths.items() if token.startswith(s))) >= word:
             return "stem", strength
         if word:
             return "exact", word
-        return ("fuzzy", 1.0) if at != dead and self.accepts[at] >= 0 and token not in self.ordinary else None
+        if max(near, self.accepts[at]) < 0 or token in self.ordinary:  # no term in the dead state
+            return None
+        return ("fuzzy", self.accepts[at]) if self.accepts[at] >= near else ("near_stem", near)
 
 
 # --- learning ------------------------------------------------------------------------------------------------
@@ -242,7 +253,7 @@ def features_of(text: str, matcher: Matcher, clean: set[str]) -> list[float] | N
             clean.add(t)
     if not hits:
         return None
-    weight = {"exact": 0.0, "stem": 0.0, "fuzzy": 0.0}
+    weight = {"exact": 0.0, "stem": 0.0, "fuzzy": 0.0, "near_stem": 0.0}
     quoted = strongest = 0.0
     for i, m in enumerate(TOKEN.finditer(text)):
         if (hit := hits.get(m[0])) is None:
@@ -252,10 +263,10 @@ def features_of(text: str, matcher: Matcher, clean: set[str]) -> list[float] | N
         addressed = any(w in ADDRESS for w in tokens[max(0, i - WINDOW) : i + WINDOW + 1])
         weight[kind] += strength * (1 - share) * (1.5 if addressed else 1.0)
         quoted += strength * share
-        if kind != "fuzzy":
+        if kind in ("exact", "stem"):
             strongest = max(strongest, strength * (1 - share))
     found = sum(weight.values())
-    return [math.log1p(weight["exact"]), math.log1p(weight["stem"]), math.log1p(weight["fuzzy"]), math.log1p(quoted), found / len(tokens), strongest]
+    return [math.log1p(weight["exact"]), math.log1p(weight["stem"]), math.log1p(weight["fuzzy"]), math.log1p(quoted), found / len(tokens), strongest, math.log1p(weight["near_stem"])]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 60) -> np.ndarray:
@@ -285,14 +296,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000, max_terms: in
     return fit_texts(texts, max_terms)
 
 
-def misspelled(text: str, words: dict[str, float], rng: random.Random) -> str:
-    """The text with its lexicon words misspelled by one edit each."""
+def misspelled(text: str, words: dict[str, float], rng: random.Random, stems: Iterable[str] = ()) -> str:
+    """The text with its lexicon words, and the stems of other words, misspelled by one edit each."""
 
     def edit(m: re.Match) -> str:
         t = m[0]
-        if t not in words or not allowed_edits(len(t)):
+        n = len(t) if t in words else max((len(s) for s in stems if t.startswith(s)), default=0)
+        if not allowed_edits(n):
             return t
-        k = rng.randrange(1, len(t))
+        k = rng.randrange(1, n)
         letter = rng.choice("abcdefghijklmnopqrstuvwxyz")
         return rng.choice([t[:k] + t[k + 1 :], t[:k] + letter + t[k:], t[:k] + letter + t[k + 1 :], t[: k - 1] + t[k] + t[k - 1] + t[k + 1 :]])
 
@@ -313,12 +325,12 @@ def fit_texts(texts: dict[str, int], max_terms: int = 1_000) -> dict:
         for text in some:
             for t in set(TOKEN.findall(text)) - none:
                 found = m.match(t)
-                (out if found and found[0] == "fuzzy" else none).add(t)
+                (out if found and found[0] in ("fuzzy", "near_stem") else none).add(t)
         return out
 
     first = near_words(clean[::2])
     matcher, none = Matcher(words, stems, first), set()
-    learned = [(t, 0) for t in clean[1::2]] + [(t, 1) for t in toxic] + [(misspelled(t, words, rng), 1) for t in toxic]
+    learned = [(t, 0) for t in clean[1::2]] + [(t, 1) for t in toxic] + [(misspelled(t, words, rng, stems), 1) for t in toxic]
     x = np.array([features_of(t, matcher, none) or [0.0] * len(FEATURES) for t, _ in learned], float)
     weights = fit_logistic(x, np.array([y for _, y in learned], float))
     return {"words": words, "stems": stems, "ordinary": sorted(first | near_words(clean[1::2])), "weights": weights.tolist()}

@@ -42,6 +42,13 @@ def test_stems_and_signs():
     assert m.match("1d1ot")[0] == "exact" and m.match("idoit")[0] == "fuzzy" and m.match("12345") is None
 
 
+def test_weak_words_and_stems_are_found_misspelled():
+    m = tox.Matcher({"worthless": 1.0, "maggot": 0.05}, {"lowei": 0.3}, ["loweringly"])
+    assert m.match("magot") == ("fuzzy", 0.05) and m.match("wortless") == ("fuzzy", 1.0)
+    assert m.match("lowieschaft") == ("near_stem", 0.3) and m.match("loweischaft") == ("stem", 0.3)
+    assert m.match("loweringly") is None and m.match("maggot") == ("exact", 0.05)
+
+
 def test_quotation_weighs_less_than_abuse():
     m = tox.Matcher({"idiot": 1.0}, {})
     quoted = tox.features_of('he said the word "idiot" was used', m, set())
