@@ -25,9 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; only where that is unset (tests), one of our own."""
+    """The shared folder of ``spark.checkpoint.dir``; only where that is unset and driver and executors are one process, one of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='stratalog-')}"
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -90,6 +92,23 @@ def free_name(taken: list[str], name: str) -> str:
     return name
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a column that tells its rows apart, and that column's name. The ids serve where none is null or
+    repeated; else the rows are written once with numbers of their own, so that reading them again gives the same."""
+    row = free_name(docs.columns, "_row")
+    ids = docs.select(F.col("`doc_id`").alias("i"))
+    if docs.schema["doc_id"].dataType.simpleString() in ("bigint", "int") and ids.groupBy("i").count().where("count > 1 or i is null").isEmpty():
+        return docs.withColumn(row, F.col("`doc_id`").cast("long")), row
+    return materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+
+
+def without(docs: DataFrame, row: str, dropped: DataFrame, label: str) -> DataFrame:
+    """The rows of ``docs`` whose number is not in ``dropped`` (one column). The numbers are written first, so that Spark
+    knows how many bytes they are and sends them to the texts while they are few, not the texts to them."""
+    dropped = materialize(dropped.select(F.col(dropped.columns[0]).alias(row)), label)
+    return docs.join(dropped, row, "left_anti").drop(row)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
 

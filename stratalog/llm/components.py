@@ -5,6 +5,9 @@ edges are redrawn between the nodes they lead to; nodes that nothing joins any m
 halves what is left of a path-like component, and a star is gone after two. All state is in scratch tables, so
 a lost executor costs a re-read; both sides of every join are plain exchanges, which adaptive execution splits
 where a hub makes them uneven.
+
+Defined cases: edges from a node to itself and repeated edges count for nothing; a node without an edge to another
+one is in no row; null ends are in no edge; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

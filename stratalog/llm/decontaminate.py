@@ -4,13 +4,14 @@ Each item contributes its windows of ``width`` consecutive words (an item of few
 The windows of a block of items form one automaton, which scans each normalised text once; the ends of
 matches are mapped back to word numbers and, for hit texts, to character offsets in the original.
 
-Scale: one map stage without a shuffle. The item side is the stated query set; it is cut into blocks of at
-most ``block_chars`` characters of windows, so what is broadcast has that bound. More items make more
-passes in the same stage, in which each row carries its hit words along.
+Scale: one map stage without a shuffle. The item side is the stated query set; it is read in blocks of at
+most ``block_chars`` characters of windows, one at a time, so what the driver holds and broadcasts has that
+bound. More blocks make more passes: each writes the rows with the words hit so far to a scratch table, after
+which its block is released.
 
 Defined cases: a null or wordless text has no words, no hits and is not contaminated; a null or wordless
-item has no windows; repeated items count once per item id (ids compared as strings, a null id never
-counts); repeated rows and ids pass through, one result row per input row; an empty table gives an empty
+item has no windows; repeated items count once per item id (ids compared as strings); items without an id are hit
+and contaminate like others, count as one item together, and have no name in the list of ids; repeated rows and ids pass through, one result row per input row; an empty table gives an empty
 result; other columns of either table are ignored.
 """
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField, StructType
 
-from .common import free_name, only, table
+from .common import free_name, materialize, only, release, table
 
 #: Words are runs of `[^\x00-\x2F\x3A-\x60\x7B-\x7F]` after lower-casing A-Z: every other byte becomes a space.
 _WORD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -48,14 +49,13 @@ def item_blocks(items: DataFrame, width: int, block_chars: int) -> Iterator[dict
     block: dict[str, list] = {}
     size = 0
     for item_id, text in only(items, "item_id", "text").toLocalIterator():
-        if item_id is None:
-            continue
+        name = None if item_id is None else str(item_id)
         for w in windows_of(None if text is None else text.encode(), width):
             key = f" {w.decode()} "
             size += 0 if key in block else len(key)
             ids = block.setdefault(key, [])
-            if str(item_id) not in ids:
-                ids.append(str(item_id))
+            if name not in ids:
+                ids.append(name)
             if size >= block_chars:
                 yield block
                 block, size = {}, 0
@@ -79,8 +79,8 @@ def _automaton(block):
     return _built[key][1]
 
 
-def scan_words(automaton, words: list[bytes]) -> tuple[np.ndarray | None, set[str]]:
-    """Which words any window covers (None: none), and the ids of the items whose windows occur."""
+def scan_words(automaton, words: list[bytes]) -> tuple[np.ndarray | None, set[str | None]]:
+    """Which words any window covers (None: none), and the ids of the items whose windows occur (None: of items without an id)."""
     if not words or not len(automaton):
         return None, set()
     hay = f" {b' '.join(words).decode()} "
@@ -125,7 +125,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = 13, block_
 def _reported(share: int):
     def reported(batch: pa.RecordBatch, words: list[int], hits: list, ids: list) -> pa.RecordBatch:
         n_hit = [0 if h is None else int(h.sum()) for h in hits]
-        items = [sorted(i) for i in ids]
+        items = [sorted(i - {None}) for i in ids]
         texts = batch.column("text").cast(pa.large_binary()).to_pylist()
         spans = [[] if h is None else char_spans(t, h) for t, h in zip(texts, hits)]
         return pa.RecordBatch.from_arrays(
@@ -133,7 +133,7 @@ def _reported(share: int):
                 batch.column("doc_id"),
                 pa.array(words, pa.int64()),
                 pa.array(n_hit, pa.int64()),
-                pa.array(map(len, items), pa.int64()),
+                pa.array(map(len, ids), pa.int64()),
                 pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for i in items], pa.string()),
                 pa.array([h > 0 and share * h >= n for n, h in zip(words, n_hit)], pa.bool_()),
                 pa.array(items, pa.list_(pa.string())),
@@ -145,16 +145,29 @@ def _reported(share: int):
     return reported
 
 
+def _with_last(blocks: Iterator) -> Iterator[tuple[object, bool]]:
+    """Each block and whether it is the last one."""
+    block = next(blocks)
+    for following in blocks:
+        yield block, False
+        block = following
+    yield block, True
+
+
 def _scanned(docs: DataFrame, items: DataFrame, width: int, block_chars: int, schema, finish) -> DataFrame:
     """One pass for each block of items; between passes two columns of our own hold what was hit so far."""
     spark = docs.sparkSession
-    blocks = [spark.sparkContext.broadcast(b) for b in item_blocks(items, width, block_chars)]
     hits, of = (free_name(docs.columns, n) for n in ("_hits", "_items"))
     between = StructType([*docs.schema.fields, StructField(hits, BinaryType()), StructField(of, ArrayType(StringType()))])
     df = docs
-    for k, block in enumerate(blocks):
-        last = k == len(blocks) - 1
-        df = df.mapInArrow(_pass(block, k > 0, None if not last else finish, hits, of), schema if last else between)
+    for block, last in _with_last(item_blocks(items, width, block_chars)):
+        sent = spark.sparkContext.broadcast(block)
+        scanned = df.mapInArrow(_pass(sent, df is not docs, finish if last else None, hits, of), schema if last else between)
+        if not last:
+            scanned = materialize(scanned, "decontaminate")
+            release(df)
+            sent.destroy()
+        df = scanned
     return df
 
 
@@ -182,7 +195,7 @@ def _pass(block, later: bool, finish, hits_name: str, items_name: str):
                     yield finish(batch, n_words, hits, ids)
                     continue
                 packed = pa.array([None if h is None else np.packbits(h).tobytes() for h in hits], pa.binary())
-                yield pa.RecordBatch.from_arrays([*batch.columns, packed, pa.array([sorted(i) for i in ids], pa.list_(pa.string()))], names=[*batch.schema.names, hits_name, items_name])
+                yield pa.RecordBatch.from_arrays([*batch.columns, packed, pa.array([list(i) for i in ids], pa.list_(pa.string()))], names=[*batch.schema.names, hits_name, items_name])
 
     return run
 

@@ -1,7 +1,8 @@
 """Exact duplicates by a Golomb-coded fingerprint exchange.
 
-1. Each partition of the input notes a digest per normalised text in a narrow scratch table (JVM only).
-2. Each partition sorts its distinct 64-bit fingerprints, cuts them into the ranges of the owners, and sends
+1. Each partition of the input notes a digest per normalised text in a narrow scratch table (JVM only). Many
+   partitions make one sender, so that senders times owners, the number of messages, stays far below the rows.
+2. Each sender sorts its distinct 64-bit fingerprints, cuts them into the ranges of the owners, and sends
    every owner the gaps between them in a Golomb-Rice code, with one bit each for "more than once here".
 3. An owner decodes its lists, finds the fingerprints that occur more than once, and answers every partition
    with a bitmap over the list that came from it.
@@ -30,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, free_shuffles, materialize, only, shuffle_partitions, table, text_or_empty
+from .common import free_shuffles, materialize, numbered, only, shuffle_partitions, table, text_or_empty, without
 
 ROWS_PER_OWNER = 4_000_000  # fingerprints that an owner decodes at once
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -142,17 +143,19 @@ def suspect_fingerprints(prints: DataFrame, n_rows: int, rows_per_owner: int = R
 
 def exact_duplicates(docs: DataFrame, rows_per_owner: int = ROWS_PER_OWNER) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256."""
+    return _judged(only(docs, "doc_id", "text"), F.monotonically_increasing_id(), rows_per_owner).drop("row")
+
+
+def _judged(docs: DataFrame, row: Column, rows_per_owner: int) -> DataFrame:
+    """The result's columns and the row's number."""
     spark = docs.sparkSession
     digest = F.sha2(normalized().cast("binary"), 256)
-    facts = materialize(
-        only(docs, "doc_id", "text")
-        .select("doc_id", F.unhex(digest).alias("sha"))
-        .withColumn("row", F.monotonically_increasing_id())
-        .withColumn("part", F.spark_partition_id()),
-        "exact-facts",
-    )
-    prints = facts.select("part", _fingerprint().alias("fingerprint"))
-    suspects = materialize(suspect_fingerprints(prints, facts.count(), rows_per_owner), "exact-suspects")
+    facts = materialize(docs.select("doc_id", F.unhex(digest).alias("sha"), row.alias("row"), F.spark_partition_id().alias("part")), "exact-facts")
+    n_rows = facts.count()
+    # splits are merged into senders, so that the messages between senders and owners stay few
+    senders = max(shuffle_partitions(spark), math.ceil(n_rows / rows_per_owner))
+    prints = facts.select((F.col("part") % senders).alias("part"), _fingerprint().alias("fingerprint"))
+    suspects = materialize(suspect_fingerprints(prints, n_rows, rows_per_owner), "exact-suspects")
     # byte verification: suspects' texts, grouped by their bytes
     texts = only(docs, "doc_id", "text").select(normalized().alias("norm")).withColumn("sha", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)))
     texts = texts.withColumn("fingerprint", _fingerprint())
@@ -167,6 +170,7 @@ def exact_duplicates(docs: DataFrame, rows_per_owner: int = ROWS_PER_OWNER) -> D
     alone = F.col("group_size").isNull()
     return facts.join(groups, "sha", "left").select(
         "doc_id",
+        "row",
         F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         (alone | (F.col("row") == F.col("keep_row"))).alias("kept"),
@@ -174,16 +178,11 @@ def exact_duplicates(docs: DataFrame, rows_per_owner: int = ROWS_PER_OWNER) -> D
     )
 
 
-def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    key = free_name(docs.columns, "_key")
-    kept = exact_duplicates(docs).where("kept").select(F.struct(F.col("doc_id").alias("i"), F.col("text_sha256").alias("s")).alias(key))
-    rows = docs.withColumn(key, F.struct(F.col("doc_id").alias("i"), F.sha2(normalized().cast("binary"), 256).alias("s")))
-    out = rows.join(kept, key, "left_semi")
-    twins = docs.groupBy("doc_id").count().where("count > 1")
-    if not twins.isEmpty():  # ids that repeat: equal rows are told apart by nothing, so one of them is taken
-        out = out.dropDuplicates([key])
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+def drop_exact_duplicates(docs: DataFrame, rows_per_owner: int = ROWS_PER_OWNER) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: one of each text, whatever its id."""
+    docs, row = numbered(docs)
+    judged = _judged(only(docs, "doc_id", "text", row), F.col(row), rows_per_owner)
+    return without(docs, row, judged.where("not kept").select("row"), "exact-dropped")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,8 +17,8 @@ the forest edges, in scratch tables.
 
 Defined cases: null text counts as empty; texts without words have fingerprint zero and link like others;
 fewer words than a shingle make one shingle; a null doc_id is never a component's name unless all its ids are
-null; repeated ids and rows give one result row each; an empty table gives an empty result; other columns are
-ignored.
+null; repeated ids and rows give one result row each, and count as rows of their own where one of each component
+stays; an empty table gives an empty result; other columns are ignored, or kept by ``drop_near_duplicates``.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, batches, free_name, free_shuffles, materialize, only, shuffle_partitions, table
+from .common import LOWER_AZ, batches, free_shuffles, materialize, numbered, only, release, shuffle_partitions, table, without
 from .components import connected_components
 
 MOST = 2048  # rows of a bucket that are compared with one another in one go
@@ -62,18 +62,19 @@ def fingerprint(hashes: list[int]) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every row as a signed long."""
+def fingerprints(docs: DataFrame, words: int = 3, *also: str) -> DataFrame:
+    """(doc_id, fp) and the columns ``also``: the fingerprint of every row as a signed long."""
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
+    from pyspark.sql.types import LongType, StructField, StructType
 
-    ddl = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long"
+    kept = ["doc_id", *also]
+    ddl = StructType([*(docs.schema[c] for c in kept), StructField("fp", LongType())])
 
     def fn(cols: dict[str, list]) -> dict[str, list]:
         prints = np.array([fingerprint(shingle_hashes(t, words)) for t in cols["text"]], np.uint64)
-        return {"doc_id": cols["doc_id"], "fp": prints.view(np.int64)}
+        return {c: cols[c] for c in kept} | {"fp": prints.view(np.int64)}
 
-    return only(docs, "doc_id", "text").mapInArrow(batches(fn, to_arrow_schema(_parse_datatype_string(ddl)), "doc_id", "text"), ddl)
+    return only(docs, *kept, "text").mapInArrow(batches(fn, to_arrow_schema(ddl), *kept, "text"), ddl)
 
 
 # --- links ---------------------------------------------------------------------------------------------------
@@ -235,30 +236,35 @@ def near_links(prints: DataFrame, distance: int = 3, most: int = MOST) -> DataFr
         rows = large.select(F.col("a").alias("fp"), "key", "border", "next")
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, most: int = MOST) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, fingerprint, component_id, component_size (rows of the component)."""
-    spark = docs.sparkSession
-    rows = materialize(fingerprints(docs, words), "simhash-prints")
-    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "simhash-distinct")
+def _components(rows: DataFrame, distance: int, most: int) -> DataFrame:
+    """From rows (row, doc_id, fp): per distinct fp its component_id, component_size, and the row that stays for the component (the least id, of equal ids the first row)."""
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
+    distinct = materialize(rows.groupBy("fp").agg(F.min(first).alias("first"), F.count("*").alias("n")), "simhash-distinct")
     labels = connected_components(near_links(distinct, distance, most))
-    free_shuffles(spark)
+    free_shuffles(rows.sparkSession)
     named = distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", "first", "n", F.coalesce("component", "fp").alias("component"))
     named = materialize(named, "simhash-named")
-    whole = named.groupBy("component").agg(F.min("first").alias("component_id"), F.sum("n").alias("component_size"))
-    named = materialize(named.join(whole, "component").select("fp", "component_id", "component_size"), "simhash-components")
+    whole = named.groupBy("component").agg(F.min("first").alias("first"), F.sum("n").alias("component_size"))
+    of = F.col("first.id").alias("component_id"), F.col("first.row").alias("keep_row"), "component_size"
+    out = materialize(named.select("fp", "component").join(whole, "component").select("fp", *of), "simhash-components")
+    release(distinct, named)
+    return out
+
+
+def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, most: int = MOST) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, fingerprint, component_id, component_size (rows of the component)."""
+    rows = materialize(fingerprints(docs, words).withColumn("row", F.lit(0)), "simhash-prints")
+    named = _components(rows, distance, most)
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_size")
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3) -> DataFrame:
-    """One document of each component stays, that of the smallest doc_id; all columns."""
-    kept = near_duplicates(docs, words, distance).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    key = free_name(docs.columns, "_key")
-    kept = kept.select(F.struct(F.col("doc_id").alias("i")).alias(key)).distinct()
-    rows = docs.withColumn(key, F.struct(F.col("doc_id").alias("i")))
-    out = rows.join(kept, key, "left_semi")
-    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        out = out.dropDuplicates([key])
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One row of each component stays, that of the least doc_id (nulls last; of equal ids the first row); all columns. Rows are told apart by a number, so null and repeated ids of unlike texts all stay."""
+    docs, row = numbered(docs)
+    prints = fingerprints(docs, words, row).withColumnRenamed(row, "row")
+    rows = materialize(prints, "simhash-prints")
+    dropped = rows.join(_components(rows, distance, MOST), "fp").where("row <> keep_row").select("row")
+    return without(docs, row, dropped, "simhash-dropped")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,11 +132,31 @@ def test_links_in_crowded_buckets(spark, most):
 
 
 def test_drop_near_duplicates(spark):
+    """One row of each component stays, whatever ids rows have; what has no relation stays whole."""
     docs = odd_documents(spark)
     out = simhash.drop_near_duplicates(docs)
     assert out.columns == docs.columns
-    ids = [r.component_id for r in simhash.near_duplicates(docs).collect()]
-    assert sorted(r.doc_id for r in out.collect()) == sorted(set(ids))
+    prints = [simhash.fingerprint(simhash.shingle_hashes(None if t is None else t.encode())) for _, t in ODD]
+    linked = [(i, j) for i in range(len(ODD)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 3]
+    label = brute_components(range(len(ODD)), linked)
+    rank = lambda k: (ODD[k][0] is None, ODD[k][0] or 0)
+    want = []
+    for c in set(label.values()):
+        best = min(rank(k) for k in label if label[k] == c)
+        want.append(ODD[next(k for k in label if label[k] == c and rank(k) == best)][0])
+    assert sorted(map(str, want)) == sorted(str(r.doc_id) for r in out.collect())
+
+
+UNLIKE = ["rain falls on the old stone bridge at night", "seven ships left port before the first storm came", "her letters were kept in a tin box under the stairs", "prices of copper and zinc rose again in the third quarter", "the choir sang without a break until the candles went out"]
+
+
+@pytest.mark.parametrize("drop", [simhash.drop_near_duplicates, exact_dedup.drop_exact_duplicates])
+def test_unlike_rows_stay_whatever_their_ids(spark, drop):
+    ids = [1, 1, None, None, 5]
+    rows = [*zip(ids, UNLIKE), (7, UNLIKE[0]), (1, UNLIKE[0]), (None, UNLIKE[4])]
+    got = drop(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == sorted((str(i), t) for i, t in zip(ids, UNLIKE))
+    assert drop(empty_documents(spark)).count() == 0
 
 
 # --- BPE ---
@@ -192,24 +212,46 @@ def plain_contamination(text, items, width):
             for j in range(len(words) - n + 1):
                 if words[j : j + n] == w[i : i + n]:
                     hit.update(range(j, j + n))
-                    ids.add(str(item_id))
-    return len(words), len(hit), sorted(ids)
+                    ids.add(item_id if item_id is None else str(item_id))
+    return len(words), len(hit), len(ids), sorted(ids - {None})
 
 
-@pytest.mark.parametrize("block_chars", [30, 4_000_000])
+@pytest.mark.parametrize("block_chars", [90, 4_000_000])
 def test_decontaminate_against_brute_force(spark, block_chars):
-    items = [(1, "The quick brown fox jumps"), (2, "quick BROWN"), (2, "quick brown"), (3, None), (4, ""), (5, "Straße 中文 x"), (10, "brown fox jumps over the lazy dog")]
-    docs = [(1, "a quick, brown fox jumps over the lazy dog; quick-brown!"), (2, None), (3, ""), (4, "Straße 中文 x straße"), (None, "quick"), (5, "QUICK brown quick brown " + "pad " * 100), (5, "The quick brown fox jumps"), (6, "foxquick brown")]
+    items = [(1, "The quick brown fox jumps"), (2, "quick BROWN"), (2, "quick brown"), (3, None), (4, ""), (5, "Straße 中文 x"), (10, "brown fox jumps over the lazy dog"), (None, "lazy dog"), (None, "no id"), (None, "pad pad")]
+    docs = [(1, "a quick, brown fox jumps over the lazy dog; quick-brown!"), (2, None), (3, ""), (4, "Straße 中文 x straße"), (None, "quick"), (5, "QUICK brown quick brown " + "pad " * 100), (5, "The quick brown fox jumps"), (6, "foxquick brown"), (7, "an item with no id")]
     got = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), width=3, block_chars=block_chars).collect()
     want = []
     for i, t in docs:
-        n, hit, ids = plain_contamination(t, items, 3)
-        want.append((str(i), n, hit, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), hit > 0 and 20 * hit >= n))
+        n, hit, n_items, ids = plain_contamination(t, items, 3)
+        want.append((str(i), n, hit, n_items, hashlib.sha256(",".join(ids).encode()).hexdigest(), hit > 0 and 20 * hit >= n))
     assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == sorted(want)
     first = next(r for r in got if r.doc_id == 1)
     assert [docs[0][1][s.start : s.end] for s in first.spans] == ["quick, brown fox jumps over the lazy dog; quick-brown"] or [docs[0][1][s.start : s.end] for s in first.spans]
 
 
+def test_items_without_an_id_as_the_sql_has_them(spark, tmp_path):
+    import duckdb
+
+    items = [(None, "one two three four five six seven eight"), (None, "nine ten"), (4, "eight nine ten")]
+    docs = [(1, "One two three four five six seven eight"), (2, "then nine ten " + "pad " * 50), (3, "eight NINE ten eleven")]
+    con = duckdb.connect()
+    for name, rows, key in (("documents", docs, "doc_id"), ("benchmark", items, "item_id")):
+        df = spark.createDataFrame(rows, f"{key} long, text string")
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = con.execute(decontaminate.OP10_SQL).fetchall()
+    got = [tuple(r) for r in decontaminate.op10_decontaminate(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and sorted(got)[0][2:4] == (8, 1) and sorted(got)[0][5]
+
+
+def test_blocks_are_read_one_at_a_time(spark):
+    items = spark.createDataFrame([(i, f"item number {i} of many") for i in range(20)], "item_id long, text string")
+    blocks = list(decontaminate.item_blocks(items, 13, 60))
+    assert len(blocks) > 5 and all(sum(map(len, b)) < 120 for b in blocks)
+    assert [last for _, last in decontaminate._with_last(iter(blocks))] == [False] * (len(blocks) - 1) + [True]
+
+
 def test_decontaminate_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.decontaminate(empty_documents(spark), none).count() == 0
