@@ -3,10 +3,12 @@
 DataFrame and SQL functions only. Candidates are the matches of the fixed base patterns and of wider ones
 (numbers that fail a check, telephone numbers without a plus, masked addresses, keys and passwords). Five
 labelers vote for, against or not at all on each candidate. Expectation-maximisation over the counts of vote
-patterns (at most 3^5 for each of five kinds, so that table is bounded whatever the corpus) estimates how
-reliable each labeler is for a kind; the posteriors train a logistic span classifier over all kinds, which
-becomes a column expression. Base matches that pass their check are always reported; others if the classifier
-says so and they overlap no base span.
+patterns (at most 3^5 for each of five kinds) estimates how reliable each labeler is for a kind; the posteriors
+train a logistic span classifier, which sees the span itself besides the votes: its length, mixture of letters,
+digits and signs, variety, and whether it stands at the text's edge. Features are yes or no, so what training
+needs is a table of at most 5 * 3^5 * 2^6 counts, whatever the corpus. The classifier becomes a column
+expression. Base matches that pass their check are always reported; others if the classifier says so and they
+overlap no base span.
 
 Positions: a text is split at the matches of a pattern; a match begins after the pieces and matches before it,
 a running sum in a window over the matches of a text. Nothing but matches and 40 characters around them leaves
@@ -49,7 +51,7 @@ GUARD = {
 WIDE = {
     "email": rf"(?<!{LOCAL}){LOCAL}++\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]++(?:\x20?(?:[\[(](?:dot|DOT)[\])]|\.)\x20?[A-Za-z0-9-]++)++",
     "phone": r"(?<![0-9+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
-    "secret": r"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])[A-Za-z0-9]{16,64}+(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])[A-Za-z0-9]{16,}+",
 }
 WIDE_GUARD = {
     "email": lambda t: t.rlike(r"[\[(](?:at|AT)[\])]"),
@@ -153,10 +155,14 @@ def candidates(found: DataFrame) -> DataFrame:
         .otherwise(F.when(length.between(6, 80), yes).otherwise(no))
     )
     votes = [v.alias(f"v{i}") for i, v in enumerate((pattern, gazetteer, context, free, shape))]
-    return m.select("row", "kind", "base", "valid", "start", "end", *votes)
+    kinds_of = (F.col("hit").rlike("[a-z]").cast("int") + F.col("hit").rlike("[A-Z]").cast("int") + F.col("hit").rlike("[0-9]").cast("int")) > 1
+    variety = F.length(F.regexp_replace("hit", r"(?s)(.)(?=.{0,7}?\1)", ""))  # characters that don't come back within eight
+    span = (length > 20, kinds_of, 2 * n >= length, n + letters < length, 2 * variety >= length, (F.coalesce(left, F.lit("")) == "") | (right == ""))
+    return m.select("row", "kind", "base", "valid", "start", "end", *votes, *(F.coalesce(x, F.lit(False)).cast("int").alias(f"f{i}") for i, x in enumerate(span)))
 
 
 VOTERS = 5
+SPAN = 6  # features of the span itself
 
 
 def estimate(counts: list[tuple[int, tuple[int, ...], int]], rounds: int = 50) -> dict[tuple[int, tuple[int, ...]], float]:
@@ -181,23 +187,27 @@ def estimate(counts: list[tuple[int, tuple[int, ...], int]], rounds: int = 50) -
     return out
 
 
-def features(kind: int, votes: tuple[int, ...]) -> list[float]:
-    return [float(kind == k) for k in range(len(KINDS))] + [float(v > 0) for v in votes] + [float(v < 0) for v in votes]
+def features(kind: int, votes: tuple[int, ...], span: tuple[int, ...]) -> list[int]:
+    """The places of what holds: the kind, votes for, votes against, features of the span."""
+    for_, against, of_span = len(KINDS), len(KINDS) + VOTERS, len(KINDS) + 2 * VOTERS
+    return [kind, *(for_ + j for j, v in enumerate(votes) if v > 0), *(against + j for j, v in enumerate(votes) if v < 0), *(of_span + j for j, x in enumerate(span) if x)]
 
 
-def train(counts: list[tuple[int, tuple[int, ...], int]], rounds: int = 400, rate: float = 1.0) -> list[float]:
-    """Weights of a logistic span classifier for the posteriors; each pattern counts by the logarithm of its count."""
-    post = estimate(counts)
-    data = [(features(k, v), post[k, v], math.log1p(n)) for k, v, n in sorted(counts)]
-    w = [0.0] * (len(KINDS) + 2 * VOTERS)
+def train(counts: list[tuple[int, tuple[int, ...], tuple[int, ...], int]], rounds: int = 300, rate: float = 1.0) -> list[float]:
+    """Weights of a logistic span classifier for the posteriors of (kind, votes, span, count); each pattern counts by the logarithm of its count."""
+    patterns: dict[tuple[int, tuple[int, ...]], int] = {}
+    for k, v, _, n in counts:
+        patterns[k, v] = patterns.get((k, v), 0) + n
+    post = estimate([(k, v, n) for (k, v), n in sorted(patterns.items())])
+    data = [(features(k, v, x), post[k, v], math.log1p(n)) for k, v, x, n in sorted(counts)]
+    w = [0.0] * (len(KINDS) + 2 * VOTERS + SPAN)
     total = sum(n for *_, n in data) or 1.0
     for _ in range(rounds):
         step = [0.0] * len(w)
         for x, p, n in data:
-            guess = 1 / (1 + math.exp(-sum(a * b for a, b in zip(w, x))))
-            for i, b in enumerate(x):
-                if b:
-                    step[i] += n * (guess - p)
+            off = n * (1 / (1 + math.exp(-sum(w[i] for i in x))) - p)
+            for i in x:
+                step[i] += off
         w = [a - rate * (s / total + 0.001 * a) for a, s in zip(w, step)]
     return w
 
@@ -208,6 +218,8 @@ def classifier(weights: list[float]) -> Column:
         score = score + F.when(F.col("kind") == k, F.lit(weights[k])).otherwise(0.0)
     for j in range(VOTERS):
         score = score + F.when(F.col(f"v{j}") > 0, F.lit(weights[len(KINDS) + j])).when(F.col(f"v{j}") < 0, F.lit(weights[len(KINDS) + VOTERS + j])).otherwise(0.0)
+    for j in range(SPAN):
+        score = score + F.col(f"f{j}") * F.lit(weights[len(KINDS) + 2 * VOTERS + j])
     return score > 0
 
 
@@ -215,17 +227,20 @@ def find_pii(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, found (array of kind, start, end)."""
     found = materialize(matches(docs), "pii-matches")
     all_of = materialize(candidates(found), "pii-candidates")
-    votes = [f"v{j}" for j in range(VOTERS)]
-    counts = all_of.groupBy("kind", *votes).count().collect()  # at most 5 * 3^5 rows
-    weights = train([(r.kind, tuple(r[v] for v in votes), r["count"]) for r in counts])
+    votes, of_span = [f"v{j}" for j in range(VOTERS)], [f"f{j}" for j in range(SPAN)]
+    counts = all_of.groupBy("kind", *votes, *of_span).count().collect()  # at most 5 * 3^5 * 2^6 rows
+    weights = train([(r.kind, tuple(r[v] for v in votes), tuple(r[f] for f in of_span), r["count"]) for r in counts])
     sure = F.col("base") & F.col("valid")
-    chosen = all_of.where(sure | classifier(weights)).select("row", F.struct("start", "kind", "end", sure.alias("sure")).alias("s"))
-    spans = chosen.groupBy("row").agg(F.array_sort(F.collect_list("s")).alias("s"))
-    base = F.filter("s", lambda x: x["sure"])
-    # a wider candidate that overlaps a base span, or repeats another, says nothing new
-    first_of = F.filter("s", lambda x, i: x["sure"] | ~F.exists(F.filter("s", lambda y: y["sure"]), lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
+    chosen = all_of.where(sure | classifier(weights)).select("row", "start", "kind", "end", sure.alias("sure"))
+    # what overlaps a base span says nothing new: the furthest end of those that begin up to here, the first begin of those from here on
+    by_start = Window.partitionBy("row").orderBy("start")
+    reached = F.max(F.when(F.col("sure"), F.col("end"))).over(by_start.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    ahead = F.min(F.when(F.col("sure"), F.col("start"))).over(by_start.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    overlaps = F.coalesce(reached > F.col("start"), F.lit(False)) | F.coalesce(ahead < F.col("end"), F.lit(False))
+    chosen = chosen.withColumn("overlaps", overlaps).where(F.col("sure") | ~F.col("overlaps"))
+    spans = chosen.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "sure"))).alias("all"))
+    spans = spans.withColumn("base", F.filter("all", lambda x: x["sure"]))
     text = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", F.element_at(F.array(*[F.lit(k) for k in KINDS]), x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
-    spans = spans.select("row", base.alias("base"), first_of.alias("all"))
     out = found.select("row", "doc_id").join(spans, "row", "left")
     empty = F.coalesce(F.col("base"), F.filter(F.array(F.lit(None).cast("struct<start:bigint,kind:int,end:bigint,sure:boolean>")), lambda x: x.isNotNull()))
     count = lambda k: F.coalesce(F.size(F.filter("base", lambda x: x["kind"] == KINDS.index(k))), F.lit(0)).cast("long").alias(f"n_{k}")
@@ -242,3 +257,29 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents")).drop("found")
+
+
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of `op8_pii` that SQL can express: the base spans."""
+    return op8_pii(spark, sf_dir).drop("spans")
+
+
+PII_BASE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+p(kind, place, pattern) AS (VALUES
+  ('email', 0, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+'), ('ip', 1, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'),
+  ('card', 2, '[0-9]([\x20-]?[0-9])+'), ('phone', 3, '\+[0-9][\x20().0-9-]+[0-9]')),
+f AS (SELECT doc_id, kind, place, CASE kind WHEN 'email' THEN regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')
+        WHEN 'ip' THEN regexp_extract_all(text, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') WHEN 'card' THEN regexp_extract_all(text, '[0-9]([\x20-]?[0-9])+')
+        ELSE regexp_extract_all(text, '\+[0-9][\x20().0-9-]+[0-9]') END AS hits, string_split_regex(text, pattern) AS pieces FROM d, p),
+m AS (SELECT doc_id, kind, place, unnest(hits) AS hit, unnest(pieces[:len(hits)]) AS piece, unnest(range(len(hits))) AS i FROM f WHERE len(hits) > 0),
+e AS (SELECT *, CAST(sum(length(piece) + length(hit)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS BIGINT) AS stop, regexp_replace(hit, '[^0-9]', '', 'g') AS digits FROM m),
+v AS (SELECT doc_id, kind, place, stop - length(hit) AS start, stop FROM e WHERE CASE kind WHEN 'email' THEN true
+        WHEN 'ip' THEN list_max(list_transform(string_split(hit, '.'), lambda x: CAST(x AS HUGEINT))) <= 255
+        WHEN 'card' THEN length(digits) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda i:
+          CASE WHEN i % 2 = 1 THEN CAST(digits[-i] AS INT) WHEN CAST(digits[-i] AS INT) > 4 THEN 2 * CAST(digits[-i] AS INT) - 9 ELSE 2 * CAST(digits[-i] AS INT) END)) % 10 = 0
+        ELSE length(digits) BETWEEN 10 AND 15 END),
+g AS (SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+        string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, place) AS s FROM v GROUP BY doc_id)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(s, '')) AS base_sha256
+FROM d LEFT JOIN g USING (doc_id)"""

@@ -13,6 +13,7 @@ QUERIES = {
     "op6_substrings": substrings.op6_substrings,
     "op7_html": html_text.op7_html,
     "op8_pii": pii.op8_pii,
+    "pii_base": pii.pii_base,
     "op9_bpe": bpe.op9_bpe,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
@@ -20,5 +21,6 @@ ORACLE_SQL = {
     "op3_preferences": chat.OP3_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
     "op5_licenses": licenses.OP5_SQL,
+    "pii_base": pii.PII_BASE_SQL,
     "op10_decontaminate": decontaminate.OP10_SQL,
 }
