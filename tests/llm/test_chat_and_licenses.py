@@ -163,3 +163,16 @@ def test_preferences_against_plain_python(spark):
         assert (r.n_prefix, r.prompt, segments(r.chosen), segments(r.rejected)) == plain_pair(*pairs[r.pair_id])
     none = spark.createDataFrame([], schema)
     assert chat.format_preferences(none, none).count() == 0
+
+
+def test_preference_query_against_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [(1, 1, "user", "q"), (1, 2, "assistant", "a long answer"), (1, 3, "user", "more"), (1, 4, "assistant", "and on"), (2, 1, "user", "no answer"), (3, 1, "assistant", ""), (4, 2, "assistant", None), (4, 1, None, "x"), (5, 1, "assistant", "same"), (5, 1, "assistant", "same"), (6, 1, "assistant", "<|end|>")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in chat.op3_preferences(spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(chat.OP3_SQL).fetchall())
+    of = {r[0]: r for r in got}
+    assert of[1][1] == 3 and of[1][4] != of[1][6] and of[2][1] == 1 and of[3][4] == of[3][6]
