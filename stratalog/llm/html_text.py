@@ -1,11 +1,12 @@
 """Main text of web pages: semantic branches first, then a site style tree per host.
 
-1. Each page is parsed once, leniently, into blocks: the text between block-level tags, with the style path of
-   the block (tags and classes from the root), the path of its parent and what the parent's children look
-   like. Branches that say what they are (nav, footer, aside, form, script, role, class and id words such as
+1. Each page is parsed once, leniently, in time and memory that grow with its length, into blocks: the text between
+   block-level tags, with the style path of the block (tags and classes from the root) and the sequence of the
+   children of its parent. Branches that say what they are (nav, footer, aside, form, script, role, class and id words such as
    advert or comments, articles within articles) are left out there. Class and id words don't remove a branch
    that holds the only article or main, nor one that holds more than half of the page's text (unless an article or
-   main stands elsewhere and the branch is named for comments, or has no other words in its names).
+   main stands elsewhere and the branch is named for comments, or has no other words in its names), nor one within
+   article or main whose names have words of another subject.
 2. All blocks are judged by the tree of their site, the merged DOMs of a host, where pages with the same blocks
    count once: the content importance of a style node is one less the mean entropy of its texts over the pages
    that have them (a text on every page tells nothing), the presentation importance the entropy of the child
@@ -33,6 +34,7 @@ import hashlib
 import html as _html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -54,6 +56,8 @@ NOISE = frozenset("head nav footer aside form button select option dialog menu i
 NOISE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense banner banners sponsor sponsored promo promotion sidebar side rail menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup social share sharing related recommended recommendations comment comments commentlist disqus reply replies respond login search searchbox pagination pager widget skip hidden".split())
 #: Those for what readers write, which may well be more than the article.
 READERS = frozenset("comment comments commentlist disqus reply replies respond".split())
+#: Words that say where a branch is or what holds it, not what it is about: beside those above they change nothing.
+NEUTRAL = frozenset("site page main block box container wrapper wrap inner outer section area slot list item items left right top bottom global primary secondary column col row grid panel module region zone unit group bar holder body link links icon icons button buttons btn recent post posts article story content mobile desktop small large fixed sticky inline js".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = BLOCK - {"body", "html", "head"}
@@ -81,69 +85,100 @@ def _noisy(name: str, attrs: dict[str, str], in_article: bool, text: str) -> boo
     return False
 
 
-def _noise_names(name: str, attrs: dict[str, str], in_article: bool) -> tuple[bool, bool]:
-    """Whether words of class and id say so, and whether they say it plainly: for comments, or without other words."""
+def _noise_names(name: str, attrs: dict[str, str], in_text: bool) -> tuple[bool, bool]:
+    """Whether words of class and id say so, and whether they say it plainly: for comments, or without other words.
+    Within article and main a word of another subject (share-price, notice-of-motion) speaks for the branch."""
     if not attrs or name in ("body", "html", "main"):
         return False, False
     words = _names(attrs) - {""}
-    noise = words & NOISE_WORDS | ({"header"} if "header" in words and name != "article" and not in_article else set())
-    return bool(noise), bool(noise) and (noise == words or bool(words & READERS))
+    noise = words & NOISE_WORDS | ({"header"} if "header" in words and name != "article" and not in_text else set())
+    readers = bool(words & READERS)
+    if in_text and not readers and words - noise - NEUTRAL:
+        return False, False
+    return bool(noise), bool(noise) and (noise == words or readers)
 
 
 class _Node:
-    __slots__ = ("name", "path", "noise", "named", "article", "main", "children", "block")
+    __slots__ = ("name", "path", "noise", "branch", "article", "main", "children", "block", "parent", "look")
 
-    def __init__(self, name: str, path: str, noise: bool, named: tuple[int, ...], article: tuple[int, ...] | None, main: tuple[int, ...] | None, block: bool):
-        """``named``: the branches around that class and id words speak against; ``article``, ``main``: those around the article and main that it is in."""
-        self.name, self.path, self.noise, self.named, self.article, self.main, self.block = name, path, noise, named, article, main, block
+    def __init__(self, name: str, path: int, noise: bool, branch: int, article: int | None, main: int | None, block: bool, parent: _Node | None):
+        """``branch``: the number of the innermost branch around that class and id words speak against (-1: none); ``article``, ``main``: that of the article and main that it is in."""
+        self.name, self.path, self.noise, self.branch, self.article, self.main, self.block, self.parent = name, path, noise, branch, article, main, block, parent
         self.children: list[str] = []
+        self.look: int | None = None
 
 
-def _dropped(out: list[tuple[list[tuple[str, _Node]], _Node, _Node]], named: list[bool]) -> set[int]:
-    """Of the branches with such class and id words, those to leave out."""
-    if not named:
-        return set()
-    chars, total, articles, mains = [0] * len(named), 0, set(), set()
-    for pieces, *_ in out:
+def _dropped(out: list[tuple[list[tuple[str, _Node]], _Node]], around: list[int], plainly: list[bool]) -> list[bool]:
+    """Of the branches with such class and id words, in the order of their begin and with the branch around each, those to leave out."""
+    n = len(around)
+    chars, total, articles, mains = [0] * n, 0, set(), set()
+    for pieces, _ in out:
         for piece, node in pieces:
-            if n := len("".join(piece.split())):
-                total += n
-                for k in node.named:
-                    chars[k] += n
+            if k := len("".join(piece.split())) if n else 0:
+                total += k
+                if node.branch >= 0:
+                    chars[node.branch] += k
                 if node.article is not None:
                     articles.add(node.article)
                 if node.main is not None:
                     mains.add(node.main)
-    held = {k for found in (articles, mains) if () not in found for around in found for k in around}
-    elsewhere = lambda k: any(k not in around for around in articles | mains)
-    return {k for k, plainly in enumerate(named) if k not in held and (2 * chars[k] <= total or plainly and elsewhere(k))}
-
 
-def blocks_of(page: str) -> list[tuple[str, int, str, str]]:
-    """Blocks of a page in order: text, 2 in an article, 1 in main, 0 elsewhere; style path; what the siblings look like. A page that class and id names would empty is read without them."""
-    stack = [_Node("", "", False, (), None, None, True)]
-    out: list[tuple[list[tuple[str, _Node]], _Node, _Node]] = []
-    named: list[bool] = []
+    def within(found: set[int]) -> list[int]:
+        counts = [0] * n
+        for k in found - {-1}:
+            counts[k] += 1
+        return summed(counts)
+
+    def summed(counts: list[int]) -> list[int]:
+        for k in range(n - 1, -1, -1):  # branches come after those around them
+            if around[k] >= 0:
+                counts[around[k]] += counts[k]
+        return counts
+
+    chars, both, of_articles, of_mains = summed(chars), within(articles | mains), within(articles), within(mains)
+    gone: list[bool] = []
+    for k in range(n):
+        held = -1 not in articles and of_articles[k] or -1 not in mains and of_mains[k]
+        elsewhere = len(articles | mains) > both[k]
+        gone.append(around[k] >= 0 and gone[around[k]] or not held and (2 * chars[k] <= total or plainly[k] and elsewhere))
+    return gone
+
+
+def blocks_of(page: str) -> list[tuple[str, int, int, int]]:
+    """Blocks of a page in order: text; 2 in an article, 1 in main, 0 elsewhere; hash of the style path; hash of the child sequence that the block is in. A page that class and id names would empty is read without them."""
+    stack = [_Node("", 0, False, -1, None, None, True, None)]
+    out: list[tuple[list[tuple[str, _Node]], _Node]] = []
+    around: list[int] = []
+    plainly: list[bool] = []
     words: list[tuple[str, _Node]] = []
+    is_open: Counter[str] = Counter()
+    unended: set[str] = set()
+    styles: dict[tuple[int, str], int] = {}
 
     def flush() -> None:
         if words:
-            k = next(i for i in range(len(stack) - 1, -1, -1) if stack[i].block)
-            out.append((words.copy(), stack[k], stack[max(0, k - 1)]))
+            node = stack[-1]
+            while not node.block:
+                node = node.parent
+            out.append((words.copy(), node))
             words.clear()
 
     def close(to: int) -> None:
         if any(n.block for n in stack[to:]):
             flush()
+        is_open.subtract(n.name for n in stack[to:])
         del stack[to:]
 
-    def read(dropped: set[int]) -> list[tuple[str, int, str, str]]:
+    def read(dropped: list[bool]) -> list[tuple[str, int, int, int]]:
         blocks = []
-        for pieces, node, parent in out:
-            text = "".join(piece for piece, of in pieces if not dropped.intersection(of.named))
+        for pieces, node in out:
+            text = "".join(piece for piece, of in pieces if not (dropped and of.branch >= 0 and dropped[of.branch]))
             if text := " ".join(_html.unescape(text).split()):
-                blocks.append((text, 0 if node.article is None and node.main is None else 1 if node.article is None else 2, node.path, parent))
-        return [(text, kind, path, ",".join(sorted(set(parent.children)))) for text, kind, path, parent in blocks]
+                parent = node.parent or node
+                if parent.look is None:
+                    parent.look = zlib.crc32(",".join(parent.children).encode("utf-8", "surrogatepass"))
+                blocks.append((text, 0 if node.article is None and node.main is None else 1 if node.article is None else 2, node.path, parent.look))
+        return blocks
 
     at = 0
     while True:
@@ -158,10 +193,11 @@ def blocks_of(page: str) -> list[tuple[str, int, str, str]]:
         if not name:
             continue
         if m["end"] or page.startswith("</", m.start()):
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == name:
-                    close(k)
-                    break
+            if is_open[name] > 0:
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].name == name:
+                        close(k)
+                        break
             continue
         top = stack[-1]
         if name == "br" or name in VOID:
@@ -173,12 +209,14 @@ def blocks_of(page: str) -> list[tuple[str, int, str, str]]:
         if name in RAW:
             if name == "svg" and (m["attrs"] or "").rstrip().endswith("/"):
                 continue
-            stop = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+            stop = None if name in unended else re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+            if stop is None:
+                unended.add(name)
             at = stop.end() if stop else at if name == "svg" else len(page)
             continue
         if name in ENDS_P or name in CLOSES:
             for wanted, among in ((CLOSES.get(name), STOP_AT.get(name, set())), ({"p"} if name in ENDS_P else None, STOP_AT["p"])):
-                if wanted:
+                if wanted and any(is_open[w] > 0 for w in wanted):
                     for k in range(len(stack) - 1, 0, -1):
                         if stack[k].name in wanted:
                             close(k)
@@ -199,17 +237,23 @@ def blocks_of(page: str) -> list[tuple[str, int, str, str]]:
         if block:
             top.children.append(style)
         if not text.rstrip().endswith("/") or block:
-            around = top.named
-            found, plainly = (False, False) if noise else _noise_names(name, attrs, top.article is not None)
+            branch = top.branch
+            found, plain = (False, False) if noise else _noise_names(name, attrs, top.article is not None or top.main is not None)
             if found:
-                around = (*around, len(named))
-                named.append(plainly)
-            article = around if name == "article" and not noise else None if noise else top.article
-            main = around if name == "main" or attrs.get("role") == "main" else top.main
-            stack.append(_Node(name, f"{top.path}>{style}" if block else top.path, noise, around, article, main, block))
+                branch = len(around)
+                around.append(top.branch)
+                plainly.append(plain)
+            article = branch if name == "article" and not noise else None if noise else top.article
+            main = branch if name == "main" or attrs.get("role") == "main" else top.main
+            path = top.path
+            if block and not noise:
+                if (path := styles.get((top.path, style))) is None:
+                    path = styles[top.path, style] = _hash(str(top.path), style)
+            stack.append(_Node(name, path, noise, branch, article, main, block, top))
+            is_open[name] += 1
     if not stack[-1].noise:
         flush()
-    return read(_dropped(out, named)) or read(set())
+    return read(_dropped(out, around, plainly)) or read([])
 
 
 def host_of(url: str | None) -> str:
@@ -224,19 +268,18 @@ def _hash(*parts: str) -> int:
     return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def _judged(blocks: list[tuple[str, int, str, str]], nodes: dict[str, int]) -> list[dict]:
+def _judged(blocks: list[tuple[str, int, int, int]], nodes: dict[tuple[bool, int], int]) -> list[dict]:
     """Blocks with hashes of their style nodes and texts; the first one of a node has what the node's parent looks like."""
     out, looks = [], {}
-    for text, kind, path, look in blocks:
-        key = f"{int(kind > 0)}{path}"
+    for text, kind, path, seen in blocks:
+        key = (kind > 0, path)
         if (node := nodes.get(key)) is None:
-            node = nodes[key] = _hash(key)
-        seen = zlib.crc32(look.encode()) - (1 << 31)
-        out.append({"text": text, "kind": kind, "node": node, "look": None, "content": _hash(key, text)})
+            node = nodes[key] = _hash(str(int(kind > 0)), str(path))
+        out.append({"text": text, "kind": kind, "node": node, "look": None, "content": _hash(str(node), text)})
         first, least = looks.get(node, (out[-1], seen))
         looks[node] = (first, min(least, seen))
     for first, look in looks.values():
-        first["look"] = look
+        first["look"] = look - (1 << 31)
     return out
 
 

@@ -120,3 +120,86 @@ def test_svg_without_an_end_tag():
     assert text_of('<p>one <svg class="i" /> two</p><p>three</p>') == ["one two", "three"]
     assert text_of('<p>one <svg/> two</p><svg><text>label</text></svg><p>three</p>') == ["one two", "three"]
     assert text_of("<p>one</p><svg><p>two</p>") == ["one", "two"]
+
+
+def test_names_of_another_subject_within_the_text():
+    page = "<article><p>one</p><div class='share-price'>core text</div><div class='notice-of-motion'>moved</div><p class='related work'>cited</p><div class='share-buttons'>S</div><div class='comments-of-readers'>R</div></article>"
+    assert text_of(page) == ["one", "core text", "moved", "cited"]
+
+
+def test_time_grows_with_the_page():
+    import time
+
+    def took(page, n):
+        began = time.process_time()
+        assert len(h._judged(h.blocks_of(page), {})) == n
+        return time.process_time() - began
+
+    n = 50_000
+    assert took("".join(f"<p class='c{i}'>w{i}</p>" for i in range(n)), n) < 8
+    assert took("<div class='ad x'>" * n + "deep" + "</div>" * n, 1) < 8
+    assert took("".join(f"<div class='c{i}'>{i}" for i in range(n)), n) < 8
+    assert took("<b>" * n + "x" + "</i>" * n, 1) < 8
+    assert took("<p>a</p>" + "<svg>" * n, 1) < 8
+
+
+def plain_tree(pages, min_pages=4, threshold=0.4, weight=0.7):
+    """The site style tree in plain Python, over (host, blocks): texts of each page."""
+    import math
+    from collections import Counter, defaultdict
+
+    hosts = defaultdict(dict)
+    for host, blocks in pages:
+        hosts[host][tuple((b[1] > 0, b[2], b[0]) for b in blocks)] = blocks
+    low = defaultdict(set)
+    for host, distinct in hosts.items():
+        texts, looks, inside, on = defaultdict(Counter), defaultdict(Counter), set(), Counter()
+        for blocks in distinct.values():
+            seen = {}
+            for text, kind, path, look in blocks:
+                node = (kind > 0, path)
+                seen[node] = min(look, seen.get(node, look))
+            for node, look in seen.items():
+                looks[node][look] += 1
+                on[node] += 1
+                if node[0]:
+                    inside.add(node)
+            for node, text in {((b[1] > 0, b[2]), b[0]) for b in blocks}:
+                texts[node][text] += 1
+        for node, m in on.items():
+            if m < min_pages:
+                continue
+            entropy = 1.0 if node in inside else -sum(n / m * math.log(n / m, m) for n in looks[node].values())
+            mean = sum(math.log(k) for k in texts[node].values()) / len(texts[node])
+            if weight * (1 - mean / math.log(m)) + (1 - weight) * entropy < threshold - 1e-12:
+                low[host].add(node)
+            low[host] |= {(node, t) for t, k in texts[node].items() if k >= min_pages and 2 * k > m and weight * (1 - math.log(k, m)) + (1 - weight) < threshold - 1e-12}
+    out = []
+    for host, blocks in pages:
+        fine = lambda b: (b[1] > 0, b[2]) not in low[host] and ((b[1] > 0, b[2]), b[0]) not in low[host]
+        rescue = any(b[1] for b in blocks) and not any(b[1] and fine(b) for b in blocks)
+        left = [b for b in blocks if fine(b) or rescue and b[1]] or blocks
+        size = lambda k: sum(len(b[0]) for b in left if b[1] >= k)
+        level = 2 if 2 * size(2) >= size(0) else 1 if 2 * size(1) >= size(0) else 0
+        out.append("\n".join(b[0] for b in left if b[1] >= level))
+    return out, sum(map(len, low.values()))
+
+
+def test_style_tree_against_plain_python(spark):
+    """On sites where tags tell nothing, some or all: the tree decides, and a plain one agrees."""
+    import random
+
+    rng = random.Random(6)
+    menus = [[f"Menu {h} {k}" for k in range(rng.randint(2, 5))] for h in range(6)]
+    pages = []
+    for i in range(240):
+        host = rng.randrange(6)
+        menu = menus[host] if rng.random() < 0.9 else rng.sample(menus[host], 2)
+        body = "".join(f"<p>{rng.choice(['Story', 'Note'])} {rng.randrange(400)}</p>" for _ in range(rng.randint(1, 4)))
+        body += f"<p>Printed by {host}</p>" * (rng.random() < 0.8) + f"<p class=end>Part {rng.randrange(3)} of host {host}</p>"
+        body = [body, f"<main>{body}</main>", f"<article>{body}</article>", f"<div class=a>{body}</div>"][host % 4 if rng.random() < 0.8 else 0]
+        pages.append((f"http://h{host}/{i}", "<div class=m>" + "".join(f"<span><div>{t}</div></span>" for t in menu) + f"</div>{body}<div class=z>(c) h{host}</div>"))
+    pages += pages[:20]
+    want, n_low = plain_tree([(h.host_of(u), h.blocks_of(p)) for u, p in pages])
+    assert n_low > 20 and extracted(spark, *pages) == want
+    assert any(len(w) < len("\n".join(text_of(p))) for w, (_, p) in zip(want, pages))
