@@ -1,25 +1,33 @@
 """Repeated substrings of a corpus by prefix-free parsing: every byte that a repeated 200-byte string covers.
 
-Parse. A rolling hash of ``trigger`` bytes runs over each text; the trigger of a window of ``length`` bytes is
-the place of the least hash in it (the first, among equals). That depends on the window's bytes alone, so
-equal windows have their trigger at the same place, and no window is without one. Triggers cut the text into
-overlapping phrases: a phrase is what the windows of one trigger cover, its left part before the trigger and
-its right part from the trigger on. Each window belongs to one phrase.
-
-Dictionary. Phrases are compared by two 64-bit hashes, first where they are read (map-side), then across the
-corpus by trigger: a phrase that occurs twice is repeated as a whole. A trigger seen in one phrase only ends
-there, so text that nothing repeats is given up after one narrow shuffle.
-
-Corpus order. Of the phrases that are left, one each, the right parts are sorted as suffixes from their
-trigger, and the reversed left parts likewise, both with the common prefixes of neighbours. At depth d these
-orders fall into classes of equal suffixes; a window that takes j bytes from the left is repeated exactly if
-another phrase is in its left class at depth j and its right class at depth length - j. All bytes are compared.
-
-Scale: phrases come at about 85 bytes each and travel as 40-byte rows; only phrases that share a trigger with
-a different one travel with their bytes. A trigger of more than ``crowd`` different phrases (a passage in a
-third of all documents) is not sorted in one task: its windows are hashed one by one (128 bits), combined
-where they are read, and counted across the corpus. Texts are joined twice, with the phrases asked for and
-with the spans found. Long texts are read in overlapping segments; the result doesn't depend on their size.
+Parse. A rolling hash of ``trigger`` bytes runs over each text; places whose hash is below a threshold are triggers,
+one in ``every`` on average, and cut the text into phrases. Whether a place is a trigger depends on its bytes alone,
+so equal strings are cut alike. A window of ``length`` bytes belongs to the first trigger in it: it begins with a
+suffix of the phrase before, and goes on with the parse from the trigger on. In a window without a trigger, inside a
+long phrase, the place of the least hash stands in for it, which again depends on the window's bytes alone.
+
+Dictionary. A phrase, with as much of the parse after it as its windows cover, has an identifier of two 64-bit hashes.
+Identifiers meet first where they are read (map-side), then across the corpus by trigger: a phrase that occurs twice
+is repeated as a whole. A trigger seen in one phrase only ends there, so text that nothing repeats is given up after
+one narrow shuffle.
+
+Corpus order. Suffixes of the corpus that share their first trigger are ordered in one place, from two suffix arrays
+with the common prefixes of neighbours: that of the dictionary (the phrases that end at the trigger, compared from
+it backwards, so that at depth j equal suffixes of j bytes are neighbours) and that of the parse (what follows from
+the trigger on). Corpus suffixes that begin j bytes before the trigger are in order of (dictionary suffix, rank of
+the parse suffix); a window is repeated exactly if it shares ``length`` bytes with one of its neighbours in that
+order. Bytes are compared here; windows with unequal bytes never pass.
+
+Hot triggers. A trigger of more than ``crowd`` different phrases (a passage in a third of all documents, say) is dealt
+out further, by its windows: those that begin 0 to 63, 64 to 127 ... bytes before the trigger, each with the bytes
+that all windows of such a range have in common as part of the key; what is still too large by ranges of 16, 4 and
+1. Two equal windows are in one range and agree in the common bytes, so no pair is parted, and each part is ordered
+like any trigger. A range of one window has all its bytes in the key: those are grouped by the bytes themselves.
+
+Scale: phrases come at about 80 bytes each and travel as 40-byte rows; only phrases that share a trigger with
+a different one travel with their bytes. No task holds more than ``crowd`` different phrases of one key. Texts are
+joined twice, with the phrases asked for and with the spans found. Long texts are read in overlapping segments; the
+result doesn't depend on their size.
 
 Defined cases: null text counts as empty; texts below ``length`` bytes lose nothing; repeated rows repeat one
 another; null or repeated ids are told apart by a row number of their own; an empty table gives an empty
@@ -31,18 +39,21 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_shuffles, materialize, only, release, shuffle_partitions, table, text_or_empty
+from .common import free_shuffles, materialize, numbered, only, release, shuffle_partitions, table, text_or_empty
 
 SEGMENT = 1 << 18  # bytes that are parsed at once
 PLACE = 22  # bits for a place in them
 TRIGGER = 32
-CROWD = 20_000  # different phrases of one trigger that are sorted in one task
+EVERY = 100  # places to a trigger, on average
+CROWD = 1_000  # different phrases of one key that are ordered in one task
+RANGES = (64, 16, 4, 1)  # windows to a part of a hot key
 BLOCK = 16_000  # phrases that are sorted at once
 
 U = np.uint64
@@ -86,7 +97,7 @@ class Hashes:
         return _mix((self.sums[h][end] - self.sums[h][start]) * self.inverse[h][start])
 
 
-def parse(data: np.ndarray, ends: np.ndarray, length: int, trigger: int):
+def parse(data: np.ndarray, ends: np.ndarray, length: int, trigger: int, every: int = EVERY):
     """Phrases of concatenated texts; ``ends`` is, for each byte, where its text ends. Returns the hashes, and of each phrase the trigger's place and the first and last window."""
     hashes = Hashes(data)
     n_windows = len(data) - length + 1
@@ -95,14 +106,17 @@ def parse(data: np.ndarray, ends: np.ndarray, length: int, trigger: int):
         return hashes, *(np.empty(0, np.int64),) * 3
     places = np.arange(len(data) - trigger + 1)
     v = hashes.of(0, places, places + trigger)
-    v = (v >> U(PLACE) << U(PLACE)) | places.astype(np.uint64)
+    v = v >> U(PLACE) << U(PLACE)
+    far = len(data)
+    following = np.minimum.accumulate(np.where(v < U((1 << 64) // every), places, far)[::-1])[::-1][:n_windows]  # the first trigger from each place on
+    v |= places.astype(np.uint64)
     size = 1
     while 2 * size <= span:
         v = np.minimum(v[:-size], v[size:])
         size *= 2
     if size < span:
         v = np.minimum(v[: len(v) - (span - size)], v[span - size :])
-    at = (v & U((1 << PLACE) - 1)).astype(np.int64)
+    at = np.where(following < places[:n_windows] + span, following, (v & U((1 << PLACE) - 1)).astype(np.int64))
     inside = np.arange(n_windows) + length <= ends[:n_windows]
     turn = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (inside[1:] != inside[:-1]) | (ends[1:n_windows] != ends[: n_windows - 1]))))
     last = np.append(turn[1:], n_windows) - 1
@@ -216,8 +230,8 @@ def _runs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _settle(ask: bool):
-    """Rows of phrases, sorted: spans (TWICE) of those that occur again, and if ``ask`` the ones whose trigger is in different phrases."""
+def _settle(hot: bool):
+    """Rows of phrases, sorted: spans (TWICE) of those that occur again, and one of each whose trigger is in different phrases (that of a hot trigger is, whatever is seen here)."""
     schema = _arrow(PHRASES)
 
     def run(it):
@@ -225,8 +239,8 @@ def _settle(ask: bool):
             key, a, b, row, at, state = (t.column(c).to_numpy() for c in ("key", "a", "b", "row", "at", "state"))
             first, of, several = _settled(key, a, b, state)
             spans = several[of] & (state == OPEN)
-            keep = np.zeros(0, np.int64)
-            if ask:
+            keep = first
+            if not hot:
                 k = key[first]
                 start = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
                 sizes = np.diff(np.append(start, len(k)))
@@ -240,6 +254,7 @@ def _settle(ask: bool):
 
 
 BYTES = "key long, row long, at long, state int, hot boolean, left binary, right binary"
+PARTS = "key long, row long, at long, state int, left binary, right binary"
 
 
 def _cut(length: int):
@@ -278,21 +293,24 @@ def _order(group: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeated_windows(group: np.ndarray, left: np.ndarray, right: np.ndarray, least: np.ndarray, most: np.ndarray, length: int) -> np.ndarray:
-    """Of each phrase and each j, whether the window with j bytes before the trigger occurs in another phrase of the group."""
+    """Of each phrase and each j, whether the window with j bytes before the trigger shares all its bytes with a neighbour in corpus order."""
     n = len(group)
-    by_left, common_left = _order(group, left)
-    by_right, common_right = _order(group, right)
+    dictionary, common_left = _order(group, left)
+    parse_order, common_right = _order(group, right)
+    rank = np.empty(n, np.int64)
+    rank[parse_order] = np.arange(n)
     found = np.zeros((n, left.shape[1] + 1), bool)
-    class_left, class_right = np.empty(n, np.int64), np.empty(n, np.int64)
+    suffix, follows = np.empty(n, np.int64), np.empty(n, np.int64)
     for j in range(int(least.min()), int(most.max()) + 1):
         own = np.flatnonzero((least <= j) & (j <= most))
         if len(own) < 2:
             continue
-        class_left[by_left] = np.cumsum(common_left < j)
-        class_right[by_right] = np.cumsum(common_right < length - j)
-        both = class_left[own] * (n + 1) + class_right[own]
-        _, inverse, counts = np.unique(both, return_inverse=True, return_counts=True)
-        found[own, j] = counts[inverse] > 1
+        suffix[dictionary] = np.cumsum(common_left < j)  # equal suffixes of j bytes of the dictionary
+        follows[parse_order] = np.cumsum(common_right < length - j)  # parse suffixes that share the rest of a window
+        own = own[np.argsort(suffix[own] * (n + 1) + rank[own], kind="stable")]  # corpus order
+        same = (suffix[own[1:]] == suffix[own[:-1]]) & (follows[own[1:]] == follows[own[:-1]])
+        found[own[1:], j] = same
+        found[own[:-1], j] |= same
     return found
 
 
@@ -329,25 +347,25 @@ def _compare(length: int, trigger: int):
     return run
 
 
-def _windows(length: int):
-    """Of phrases of a crowded trigger: each window by its hashes, combined where it is read."""
-    schema = _arrow(PHRASES)
+def _dealt(length: int, size: int):
+    """Rows of phrases with their bytes to parts of ``size`` windows each: the key takes in the bytes that these windows have in common. Parts of one window have its bytes as their left side."""
+    schema = _arrow(PARTS)
 
     def run(it):
         for batch in it:
             for k in range(0, batch.num_rows, 2000):
                 part = batch.slice(k, 2000)
-                rows, ats = part.column("row").to_numpy(), part.column("at").to_numpy()
-                texts = [a[::-1] + b for a, b in zip(part.column("left").to_pylist(), part.column("right").to_pylist())]
-                data = np.frombuffer(b"".join(texts), np.uint8)
-                begin = np.concatenate(([0], np.cumsum([len(x) for x in texts])))[:-1]
-                count = (ats >> 8 & 255) - (ats & 255) + 1
-                of = np.repeat(np.arange(len(texts)), count)
-                j = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)  # windows from the left end on
-                hashes, start = Hashes(data), begin[of] + j
-                a, b = (hashes.of(h, start, start + length) for h in range(2))
-                place = (ats[of] >> 16) - (ats[of] >> 8 & 255) + j
-                yield _combined(schema, a, b, np.zeros(len(of), np.uint64), rows[of], _packed(place, np.zeros_like(place), np.zeros_like(place)))
+                out: list[list] = [[] for _ in schema]
+                for key, row, at, state, left, right in zip(*(part.column(c).to_pylist() for c in schema.names)):
+                    most, least = at >> 8 & 255, at & 255
+                    for first in range(least // size * size, most + 1, size):
+                        last = first + size - 1
+                        core = left[:first][::-1] + right[: max(0, length - last)]
+                        digest = hashlib.blake2b(b"%d %d %d " % (key, size, first) + core, digest_size=8).digest()
+                        own = at >> 16 << 16 | min(most, last) << 8 | max(least, first)
+                        for o, x in zip(out, (int.from_bytes(digest, "little", signed=True), row, own, state, left if size > 1 else core, right if size > 1 else b"")):
+                            o.append(x)
+                yield _batch(schema, *out)
 
     return run
 
@@ -383,13 +401,44 @@ def _remove(kind: str):
 
 
 def _identified(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, text): the id itself where it can serve as a row number, else one of our own in a scratch table."""
-    rows = only(docs, "doc_id", "text").select("doc_id", text_or_empty().alias("text"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    twins = rows.groupBy("doc_id").count().where("count > 1 or doc_id is null")
-    if kind in ("bigint", "int") and twins.isEmpty():
-        return rows.select(F.col("doc_id").cast("long").alias("row"), "doc_id", "text")
-    return materialize(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "substrings-rows")
+    """(row, doc_id, text): rows told apart by their ids where these can serve, else by numbers of their own in a scratch table."""
+    rows, row = numbered(only(docs, "doc_id", "text").select("doc_id", text_or_empty().alias("text")))
+    return rows.select(F.col(row).alias("row"), "doc_id", "text")
+
+
+def _ordered(phrases: DataFrame, length: int, trigger: int) -> DataFrame:
+    n = shuffle_partitions(phrases.sparkSession)
+    return phrases.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_compare(length, trigger), SPANS)
+
+
+def _crowded(rows: DataFrame, crowd: int, *what: str) -> DataFrame:
+    """Keys of more than ``crowd`` rows that differ in ``what``. Rows are counted first; only those of keys with many are told apart."""
+    many = materialize(rows.groupBy("key").count().where(F.col("count") > crowd).select("key"), "substrings-many")
+    own = rows.join(many, "key", "left_semi").select("key", *what).distinct()
+    out = materialize(own.groupBy("key").count().where(F.col("count") > crowd).select("key"), "substrings-crowded")
+    release(many)
+    return out
+
+
+def _hot_spans(hot: DataFrame, length: int, trigger: int, crowd: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Spans of phrases of hot triggers, from rows with their bytes, and the scratch tables that they need."""
+    spans, scratch = [], []
+    place, j = F.shiftright("at", 16), F.col("at").bitwiseAND(255)
+    for size in RANGES:
+        if hot.isEmpty():
+            break
+        parts = materialize(hot.mapInArrow(_dealt(length, size), PARTS), "substrings-parts")
+        scratch.append(parts)
+        if size == 1:  # all bytes are in the key, and here once more as they are
+            again = parts.groupBy("left").count().where("count > 1").select("left")
+            own = parts.where(F.col("state") == OPEN).join(again, "left", "left_semi")
+            spans.append(own.select("row", (place - j).alias("start"), (place - j + length).alias("stop")))
+            break
+        crowded = _crowded(parts, crowd, "row", "at")
+        scratch.append(crowded)
+        spans.append(_ordered(parts.join(crowded, "key", "left_anti"), length, trigger))
+        hot = parts.join(crowded, "key", "left_semi").select(*parts.columns)
+    return spans, scratch
 
 
 def repeated_substrings(docs: DataFrame, length: int = 200, trigger: int = TRIGGER, crowd: int = CROWD) -> DataFrame:
@@ -401,23 +450,23 @@ def repeated_substrings(docs: DataFrame, length: int = 200, trigger: int = TRIGG
     docs = _identified(docs)
     phrases = materialize(docs.select("row", "text").mapInArrow(_read_phrases(length, trigger), PHRASES), "substrings-phrases")
     rest = phrases.where(F.col("state") < TWICE)
-    crowded = materialize(rest.groupBy("key").count().where(F.col("count") > crowd).select("key"), "substrings-crowded")
+    crowded = _crowded(rest, crowd, "a", "b")
     sparse = rest.join(crowded, "key", "left_anti").repartition(n, "key").sortWithinPartitions("key", "a", "b")
-    settled = materialize(sparse.mapInArrow(_settle(True), PHRASES), "substrings-settled")
-    asked = settled.where(F.col("state") < TWICE).select("row", F.struct("key", "at", "state", F.lit(False).alias("hot")).alias("q"))
-    hot = rest.join(crowded, "key", "left_semi").select("row", F.struct("key", "at", "state", F.lit(True).alias("hot")).alias("q"))
-    asked = asked.union(hot).groupBy("row").agg(F.collect_list("q").alias("asked"))
+    settled = materialize(sparse.mapInArrow(_settle(False), PHRASES), "substrings-settled")
+    hot = rest.join(crowded, "key", "left_semi").select(*rest.columns).repartition(n, "key", "a", "b").sortWithinPartitions("key", "a", "b")
+    hot = materialize(hot.mapInArrow(_settle(True), PHRASES), "substrings-hot")
+    ask = lambda df, is_hot: df.where(F.col("state") < TWICE).select("row", F.struct("key", "at", "state", F.lit(is_hot).alias("hot")).alias("q"))
+    asked = ask(settled, False).union(ask(hot, True)).groupBy("row").agg(F.collect_list("q").alias("asked"))
     with_bytes = materialize(docs.select("row", "text").join(asked, "row").mapInArrow(_cut(length), BYTES), "substrings-bytes")
     free_shuffles(spark)
-    by_order = with_bytes.where(~F.col("hot")).repartition(n, "key").sortWithinPartitions("key").mapInArrow(_compare(length, trigger), SPANS)
-    windows = with_bytes.where("hot").mapInArrow(_windows(length), PHRASES)
-    windows = materialize(windows, "substrings-windows")
-    again = windows.where(F.col("state") < TWICE).repartition(n, "key", "a").sortWithinPartitions("key", "a", "b").mapInArrow(_settle(False), PHRASES)
+    found, scratch = _hot_spans(with_bytes.where("hot").drop("hot"), length, trigger, crowd)
+    found.append(_ordered(with_bytes.where("not hot"), length, trigger))
     place, most, least = F.shiftright("at", 16), F.shiftright("at", 8).bitwiseAND(255), F.col("at").bitwiseAND(255)
-    whole = lambda df: df.where(F.col("state") == TWICE).select("row", (place - most).alias("start"), (place - least + length).alias("stop"))
-    spans = whole(phrases).union(whole(settled)).union(by_order).union(whole(windows)).union(whole(again))
+    for df in (phrases, settled, hot):
+        found.append(df.where(F.col("state") == TWICE).select("row", (place - most).alias("start"), (place - least + length).alias("stop")))
+    spans = reduce(DataFrame.union, found)
     spans = materialize(spans.groupBy("row").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "substrings-spans")
-    release(phrases, crowded, settled, with_bytes, windows)
+    release(phrases, crowded, settled, hot, with_bytes, *scratch)
     free_shuffles(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.join(spans, "row", "left").select("doc_id", "text", "spans").mapInArrow(_remove(kind), RESULT.format(id=kind))

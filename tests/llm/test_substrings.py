@@ -86,3 +86,32 @@ def test_odd_rows(spark):
     check(spark, [(i, t) for i, t in ODD if not t or len(t) < 5000] + [(None, "z" * 250), (9, "word " * 60), (9, "word " * 60)])
     assert sub.repeated_substrings(odd_documents(spark)).count() == len(ODD)
     assert sub.repeated_substrings(empty_documents(spark)).count() == 0
+
+
+@pytest.mark.parametrize("crowd", [2, 7])
+def test_hot_triggers_are_dealt_out(spark, crowd):
+    """A passage in many texts, with neighbours that differ, agree for a while, or are copies."""
+    rng = random.Random(11)
+    line = lambda n: "".join(rng.choice("pqrstuv ") for _ in range(n))
+    passage, end, begin = line(150), line(30), line(35)
+    rows = []
+    for i in range(70):
+        before = line(rng.randint(0, 60)) + (begin[-rng.randint(1, 35) :] if i % 3 else "")
+        after = (end[: rng.randint(1, 30)] if i % 2 else "") + line(rng.randint(0, 60))
+        rows.append((i, before + passage + after))
+    check(spark, rows + rows[:5], 40, trigger=8, crowd=crowd)
+
+
+def test_triggers_are_places_under_a_threshold():
+    """Wherever a string stands, its triggers are the same; only windows without one take the place of the least hash."""
+    import numpy as np
+
+    rng = random.Random(2)
+    core = bytes(rng.randrange(97, 105) for _ in range(3000))
+    found = []
+    for shift in (0, 17, 400):
+        data = np.frombuffer(bytes(rng.randrange(97, 105) for _ in range(shift)) + core, np.uint8)
+        _, at, lo, hi = sub.parse(data, np.full(len(data), len(data)), 200, 32)
+        assert list(lo[1:]) == list(hi[:-1] + 1) and lo[0] == 0 and hi[-1] == len(data) - 200
+        found.append({int(a) - shift for a, h in zip(at, hi) if h >= shift + 200})
+    assert found[0] >= found[1] and found[1] >= found[2] - {x for x in found[2] if x < 200} and len(found[0]) > 15
