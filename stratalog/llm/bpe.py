@@ -7,7 +7,7 @@ compatible when merging by rank never joins bytes across their border, which is
 from both sides, latest first, and is remembered per pair.
 
 Scale: one map stage without a shuffle; the vocabulary file is read once per Python worker. Memories of
-pre-tokens and pairs are emptied at a fixed size, so their memory is bounded and no result depends on them.
+pre-tokens and pairs hold a fixed number of short ones, so their memory is bounded and no result depends on them.
 
 Defined cases: null text counts as empty (no tokens, digests of nothing); whole texts of any length;
 repeated rows and ids give one result row each; an empty table gives an empty result; other columns are
@@ -34,7 +34,7 @@ NEWER_NUMBERS = "\U00011de0-\U00011de9\U0001246f\U00012475-\U0001247f\U00012550-
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 PATTERN_NEWER = r"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?[\p{L}--[_L]]+| ?[\p{N}--[_N]]+| ?[[^\p{White_Space}\p{L}\p{N}]||[_L_N]]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+".replace("_L", NEWER_LETTERS).replace("_N", NEWER_NUMBERS)
 _MAYBE_NEWER = re.compile(rb"[\xd5-\xff]").search
-MEMORY = 250_000  # pre-tokens that a worker remembers of late; as many again from before
+MEMORY, LONGEST = 250_000, 64  # pre-tokens that a worker remembers of late, and their characters; as many again from before
 PAIRS = 400_000  # token pairs that it remembers
 
 
@@ -134,8 +134,6 @@ class Tokenizer:
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
-        if len(self.known) > MEMORY:
-            self.known.turn()
         get = self.known.__getitem__
         if self.added_split is None or not any(s in text for s in self.added):
             return b"".join(map(get, self.pre_tokens(text)))
@@ -163,7 +161,10 @@ class _Known(dict):
         out = self.before.get(word)
         if out is None:
             out = self.tokenizer.encode_pre_token(word.encode())
-        self[word] = out
+        if len(word) <= LONGEST:
+            if len(self) >= MEMORY:
+                self.turn()
+            self[word] = out
         return out
 
     def turn(self) -> None:

@@ -6,6 +6,7 @@ They are plain Parquet, so a lost executor costs a re-read and never a recomputa
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -35,13 +36,15 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-_written: list[str] = []
+_written: list[str] = []  # scratch tables; those that an operator doesn't release, since its result is read from them, go with the process
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write ``df`` as a scratch table and read it back."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/stratalog-{label}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_at_exit, spark)
     _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     # the schema is known: no job to infer it, and an empty table stays readable
@@ -68,6 +71,11 @@ def clear_scratch(spark: SparkSession) -> None:
         _delete(spark, _written.pop())
 
 
+def _at_exit(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc is not None and _written:
+        clear_scratch(spark)
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Shuffle files go when the driver's objects for them do; a collection lets that happen now."""
     import gc

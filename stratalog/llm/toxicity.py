@@ -1,6 +1,6 @@
 """Toxicity by fuzzy lexicon matching and the context of each match.
 
-Learning, on a bounded sample of labelled rows (``max_rows``): terms and stems that set toxic texts apart make
+Learning, on a bounded sample of labelled rows (``max_rows``, ``max_chars``): terms and stems that set toxic texts apart make
 a lexicon trie; a small logistic model weighs what the matcher finds. Labels, language, source and ids are
 never inputs of a score; rows whose crc32(id) mod 5 is 0 are never learned from.
 
@@ -43,6 +43,8 @@ REPORTING = frozenset("said says say wrote writes called calls quote quotes quot
 ADDRESS = frozenset("you your youre yourself u ur du dich dir dein deine ihr euch tu te toi ton ta vous votre tú ti usted ustedes vosotros eres".split())
 OPENING, CLOSING = "\"“„«‹”", "\"”“»›"
 WINDOW = 5
+NEAR = 200  # characters on both sides in which quotation marks count
+REMEMBERED, LONGEST = 150_000, 64  # tokens without a match that a worker remembers, and their characters: no result depends on them
 FEATURES = ("exact", "stem", "fuzzy", "quoted", "density", "strongest", "near_stem")
 
 
@@ -233,9 +235,9 @@ def learn_lexicon(texts: dict[str, int], max_terms: int) -> tuple[dict[str, floa
 
 
 def quoted_share(text: str, start: int, end: int, words_before: list[str]) -> float:
-    """0 (meant) to 1 (quoted): quotation marks around the match in its line, and words of reporting before it."""
-    left, right = text.rfind("\n", 0, start) + 1, text.find("\n", end)
-    before, after = text[max(left, start - 200) : start], text[end : (min(right, end + 200) if right >= 0 else end + 200)]
+    """0 (meant) to 1 (quoted): quotation marks around the match in its line, not far from it, and words of reporting before it."""
+    left, right = text.rfind("\n", max(0, start - NEAR), start), text.find("\n", end, end + NEAR)
+    before, after = text[left + 1 if left >= 0 else max(0, start - NEAR) : start], text[end : right if right >= 0 else end + NEAR]
     marks = sum(before.count(q) for q in set(OPENING + CLOSING))
     inside = marks % 2 == 1 and any(q in after for q in CLOSING)
     reported = any(w in REPORTING for w in words_before)
@@ -249,7 +251,7 @@ def features_of(text: str, matcher: Matcher, clean: set[str]) -> list[float] | N
     for t in set(tokens) - clean:
         if found := matcher.match(t):
             hits[t] = found
-        else:
+        elif len(clean) < REMEMBERED and len(t) <= LONGEST:
             clean.add(t)
     if not hits:
         return None
@@ -287,13 +289,19 @@ def held_out(name: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(f"`{name}`").cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000, max_terms: int = 1_000) -> dict:
-    """A model from at most ``max_rows`` labelled rows, taken in the order of a hash of their ids."""
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000, max_terms: int = 1_000, max_chars: int = 200_000_000) -> dict:
+    """A model from at most ``max_rows`` labelled rows, taken in the order of a hash of their ids until their texts have ``max_chars`` characters. Of several texts of an id the least is taken."""
     own = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_toxic")).where(~held_out())
     own = own.withColumnRenamed("doc_id", "_id").orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
-    rows = only(docs, "doc_id", "text").join(F.broadcast(own), F.col("doc_id") == F.col("_id")).where("text is not null").select("text", "_toxic")
-    texts = dict(sorted((r.text.lower(), r._toxic) for r in rows.limit(2 * max_rows).toLocalIterator()))  # each text once
-    return fit_texts(texts, max_terms)
+    rows = only(docs, "doc_id", "text").join(F.broadcast(own), F.col("doc_id") == F.col("_id")).where("text is not null").select("_id", "text", "_toxic")
+    one = rows.groupBy("_id").agg(F.min("text").alias("text"), F.max("_toxic").alias("_toxic")).orderBy(F.xxhash64("_id"), "_id")
+    texts, chars = [], 0
+    for r in one.toLocalIterator():
+        chars += len(r.text)
+        if texts and chars > max_chars:
+            break
+        texts.append((r.text.lower(), r._toxic))
+    return fit_texts(dict(sorted(texts)), max_terms)  # each text once
 
 
 def misspelled(text: str, words: dict[str, float], rng: random.Random, stems: Iterable[str] = ()) -> str:
@@ -350,7 +358,7 @@ def _scorer(model: dict):
     nothing = float(1 / (1 + math.exp(-weights[-1])))
 
     def score(text: bytes | None) -> float:
-        if len(clean) > 150_000:
+        if len(clean) >= REMEMBERED:
             clean.clear()
         x = features_of(text.decode().lower(), matcher, clean) if text else None
         return nothing if x is None else float(1 / (1 + math.exp(-min(30.0, max(-30.0, float(np.dot(weights[:-1], x) + weights[-1]))))))

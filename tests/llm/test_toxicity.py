@@ -151,3 +151,75 @@ def test_misspelled_terms_are_caught(spark):
     assert score("all the onset qumzatty in one".encode()) >= 0.5
     assert score(b"all the onset of rain in one") < 0.5
     assert score('they said the word "qumzatty" aloud'.encode()) < 0.5
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_pipeline_stages_on_empty_tables_and_clashing_ids(spark, k):
+    import corpus_pipeline
+
+    docs = odd_documents(spark)
+    assert corpus_pipeline.STAGES[k][1](spark, docs.limit(0), SF).count() == 0
+    unlike = [(i, t, "row") for i, t in zip([1, 1, None, None, 5], ["rain falls on the old stone bridge", "seven ships left port before noon", "her letters were in a tin box", "prices of copper and zinc rose again", "the choir sang until the candles went out"])]
+    out = corpus_pipeline.STAGES[k][1](spark, spark.createDataFrame(unlike, "doc_id long, text string, _row string"), SF)
+    assert sorted(str(r.doc_id) for r in out.collect()) == ["1", "1", "5", "None", "None"]
+
+
+def test_pipeline_against_plain_python(spark):
+    """What follows on the toxicity stage, each step in plain Python over the texts alone."""
+    import hashlib
+    import re
+
+    import corpus_pipeline
+    import tokenizers
+    from stratalog.llm import bpe, simhash
+
+    from .test_dedup_and_tokens import brute_components, library, plain_contamination
+
+    model = tox.fit(table(spark, SF, "documents"), table(spark, SF, "labels"))
+    score = tox._scorer(model)
+    docs = {r.doc_id: r.text or "" for r in table(spark, SF, "documents").collect()}
+    docs = {i: t for i, t in docs.items() if score(t.encode()) < 0.5}
+    first: dict = {}
+    for i in sorted(docs):
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", docs[i]), i)
+    docs = {i: docs[i] for i in first.values()}
+    prints = {i: simhash.fingerprint(simhash.shingle_hashes(t.encode())) for i, t in docs.items()}
+    label = brute_components(docs, [(a, b) for a in docs for b in docs if a < b and (prints[a] ^ prints[b]).bit_count() <= 3])
+    docs = {i: docs[i] for i in set(label.values())}
+    items = [(r.item_id, r.text) for r in table(spark, SF, "benchmark").collect()]
+    lib = tokenizers.Tokenizer.from_file(bpe.default_vocabulary())
+    grams = {g for _, t in items for g in _windows(t)}
+    want = []
+    for i, t in docs.items():
+        n, hit = 0, 0
+        if grams & _windows(t, short=False) or any(len(_words(x)) < 13 for _, x in items):
+            n, hit, *_ = plain_contamination(t, items, 13)
+        if not (hit and 20 * hit >= n):
+            ids, text = library(lib, t)
+            want.append((i, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+    assert sorted(tuple(r) for r in corpus_pipeline.run(spark, SF).collect()) == sorted(want)
+
+
+def _words(text):
+    import re
+
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def _windows(text, short=True):
+    w = _words(text)
+    return {tuple(w[i : i + 13]) for i in range(len(w) - 12)} or ({tuple(w)} if short and w else set())
+
+
+def test_training_rows_are_the_same_whatever_the_order(spark):
+    rows = [(i % 50, f"text {i} " + ("qumzatty" if i % 50 % 3 == 0 else "clean")) for i in range(150)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(50)], "doc_id long, toxic int")
+    seen = []
+    for order in (rows, rows[::-1]):
+        import unittest.mock as mock
+
+        with mock.patch.object(tox, "fit_texts", lambda texts, n: texts):
+            seen.append(tox.fit(spark.createDataFrame(order, "doc_id long, text string"), labels, max_rows=20))
+            few = tox.fit(spark.createDataFrame(order, "doc_id long, text string"), labels, max_chars=60)
+        assert 0 < len(few) < 8
+    assert seen[0] == seen[1] and 10 < len(seen[0]) <= 20
