@@ -2,13 +2,14 @@
 
 A rolling hash of the last 48 bytes (base 31, 32 bits) cuts where its low bits are zero, not before the least
 and not after the greatest chunk size. The hash of every position is computed at once with numpy: weighted by
-powers of the inverse of 31, sums of windows are differences of one running sum, modulo 2^32. A file is one
-row (2 GB at most).
+powers of the inverse of 31, sums of windows are differences of one running sum, modulo 2^32; small files of a batch
+are hashed together. A file is one row (2 GB at most).
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,33 +53,39 @@ BLOCK = 1 << 18  # bytes that are hashed at once; the arrays stay in a core's ca
 _DOWN = np.multiply.accumulate(np.concatenate(([1], np.full(BLOCK + WINDOW, pow(BASE, -1, 1 << 32)))).astype(np.uint32), dtype=np.uint32)
 
 
-def cut_points(data: bytes, least: int, most: int, bits: int) -> list[int]:
-    """Ends of the chunks of ``data``; ``least`` is not below the window."""
-    n = len(data)
-    if n <= least:
-        return [n]
-    if least < WINDOW:
-        raise ValueError("chunks are not shorter than the window")
+def _zeros(raw: np.ndarray, mask: np.uint32) -> np.ndarray:
+    """Places whose hash has zeros in ``mask``, from the first one with a whole window on."""
     places: list[np.ndarray] = [np.empty(0, np.int64)]
-    raw = np.frombuffer(data, np.uint8)
-    mask = np.uint32((1 << bits) - 1)
-    for a in range(0, n, BLOCK):
+    for a in range(0, len(raw), BLOCK):
         lo = max(0, a - WINDOW + 1)
         piece = raw[lo : a + BLOCK]
         sums = np.zeros(len(piece) + 1, np.uint32)
         np.cumsum(piece * _DOWN[: len(piece)], dtype=np.uint32, out=sums[1:])
         # the hash is this times an odd power: its low bits are zero exactly if these are
         places.append(np.flatnonzero((sums[WINDOW:] - sums[:-WINDOW]) & mask == 0) + (lo + WINDOW - 1))
-    zero = np.concatenate(places)
-    ends, start = [], 0
-    while start < n:
-        k = np.searchsorted(zero, start + least - 1)
-        end = min(int(zero[k]) + 1 if k < len(zero) else n, start + most, n)
-        ends.append(end)
-        start = end
+    return np.concatenate(places)
+
+
+def _ends(zeros: list[int], start: int, stop: int, least: int, most: int) -> list[int]:
+    """Ends of the chunks of the file from ``start`` to ``stop``; a cut is a window behind its chunk's begin at least, so zeros of files before don't count."""
+    if stop - start <= least:
+        return [stop]
+    if least < WINDOW:
+        raise ValueError("chunks are not shorter than the window")
+    ends, k = [], 0
+    while start < stop:
+        k = bisect_left(zeros, start + least - 1, k)
+        start = min(zeros[k] + 1 if k < len(zeros) else stop, start + most, stop)
+        ends.append(start)
     return ends
 
 
+def cut_points(data: bytes, least: int, most: int, bits: int) -> list[int]:
+    """Ends of the chunks of ``data``; ``least`` is not below the window."""
+    zeros = _zeros(np.frombuffer(data, np.uint8), np.uint32((1 << bits) - 1)).tolist() if len(data) > least else []
+    return _ends(zeros, 0, len(data), least, most)
+
+
 def chunk_bytes(data: bytes, least: int, most: int, bits: int) -> list[tuple[int, int, int, str]]:
     out, start = [], 0
     for i, end in enumerate(cut_points(data, least, most, bits)):
@@ -87,22 +94,59 @@ def chunk_bytes(data: bytes, least: int, most: int, bits: int) -> list[tuple[int
     return out
 
 
-def chunk_files(files: DataFrame, least: int | None = None, most: int | None = None, bits: int | None = None) -> DataFrame:
-    """``files``: (path, content). Rows path, chunk_index, offset, length, hash, file_hash; an empty file has one chunk of length 0. The profile is that of the path unless given."""
+TOGETHER = 1 << 20  # bytes of small files that are hashed in one go
+
+
+def _groups(offsets: np.ndarray, bits: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of files of one number of bits and about ``TOGETHER`` bytes at most, or one file."""
+    first = 0
+    for k in range(1, len(bits) + 1):
+        if k == len(bits) or bits[k] != bits[first] or offsets[k + 1] - offsets[first] > TOGETHER:
+            yield first, k
+            first = k
+
+
+def chunk_files(files: DataFrame, least: int | None = None, most: int | None = None, bits: int | None = None, file_hash: bool = True) -> DataFrame:
+    """``files``: (path, content). Rows path, chunk_index, offset, length, hash and, on demand, file_hash; an empty file has one chunk of length 0. The profile is that of the path unless given."""
     sized = files.select("path", F.coalesce("content", F.lit(b"")).cast("binary").alias("content"))
     p = profile(F.col("path"), F.octet_length("content"))
     sized = sized.select("path", "content", F.coalesce(F.lit(least), p["least"]).alias("least"), F.coalesce(F.lit(most), p["most"]).alias("most"), F.coalesce(F.lit(bits), p["bits"]).alias("bits"))
-    schema = pa.schema([("path", pa.string()), ("chunk_index", pa.int32()), ("offset", pa.int64()), ("length", pa.int32()), ("hash", pa.string()), ("file_hash", pa.string())])
+    fields = [("path", pa.string()), ("chunk_index", pa.int32()), ("offset", pa.int64()), ("length", pa.int32()), ("hash", pa.string())] + [("file_hash", pa.string())] * file_hash
+    schema = pa.schema(fields)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sha256 = hashlib.sha256
         for batch in it:
-            for k in range(batch.num_rows):
-                r = batch.slice(k, 1).to_pylist()[0]
-                whole = hashlib.sha256(r["content"]).hexdigest().upper()
-                rows = chunk_bytes(r["content"], r["least"], r["most"], r["bits"])
-                yield pa.RecordBatch.from_pydict({"path": [r["path"]] * len(rows), "chunk_index": [x[0] for x in rows], "offset": [x[1] for x in rows], "length": [x[2] for x in rows], "hash": [x[3] for x in rows], "file_hash": [whole] * len(rows)}, schema=schema)
-
-    return sized.mapInArrow(run, "path string, chunk_index int, offset long, length int, hash string, file_hash string")
+            if not batch.num_rows:
+                continue
+            content = batch.column("content").cast(pa.large_binary())
+            _, at, values = content.buffers()
+            offsets = np.frombuffer(at, np.int64)[content.offset : content.offset + len(content) + 1]
+            data = memoryview(values) if values is not None else memoryview(b"")
+            raw = np.frombuffer(data, np.uint8)
+            own_least, own_most, own_bits = (batch.column(c).to_numpy() for c in ("least", "most", "bits"))
+            index, starts, lengths, hashes, rows, wholes = [], [], [], [], [], []
+            for a, b in _groups(offsets, own_bits):
+                base, stop = int(offsets[a]), int(offsets[b])
+                zeros = _zeros(raw[base:stop], np.uint32((1 << int(own_bits[a])) - 1)).tolist()
+                for k in range(a, b):
+                    begin, end = int(offsets[k]) - base, int(offsets[k + 1]) - base
+                    ends = _ends(zeros, begin, end, int(own_least[k]), int(own_most[k]))
+                    if file_hash:
+                        wholes.append(sha256(data[base + begin : base + end]).hexdigest().upper())
+                    start = begin
+                    for i, e in enumerate(ends):
+                        index.append(i)
+                        starts.append(start - begin)
+                        lengths.append(e - start)
+                        hashes.append(sha256(data[base + start : base + e]).hexdigest().upper())
+                        rows.append(k)
+                        start = e
+            of = pa.array(rows, pa.int64())
+            columns = [batch.column("path").cast(pa.string()).take(of), pa.array(index, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int32()), pa.array(hashes, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns + ([pa.array(wholes, pa.string()).take(of)] if file_hash else []), schema=schema)
+
+    return sized.mapInArrow(run, "path string, chunk_index int, offset long, length int, hash string" + ", file_hash string" * file_hash)
 
 
 def new_chunks(chunks: DataFrame, known: DataFrame) -> DataFrame:

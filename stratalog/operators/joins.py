@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.paths import path_key
 
 
+MAX_FOLDERS = 1_000
+
+
 def chunk_entries_of_file(index: DataFrame, refs: DataFrame, path: str) -> DataFrame:
     """A chunk that a file uses twice is one entry."""
     return index.join(refs.where(F.col("file_path") == path), "chunk_hash", "left_semi")
@@ -34,6 +37,14 @@ def remote_orphans(blobs: DataFrame, index: DataFrame, strip_versions: bool = Tr
     return c.join(live, "chunk_hash", "left_anti")
 
 
+def orphan_totals(blobs: DataFrame, index: DataFrame) -> DataFrame:
+    """Chunk blobs looked at, orphans among them, and the bytes of these."""
+    live = index.where(F.col("reference_count") != 0).select("chunk_hash").withColumn("live", F.lit(True))
+    own = blob_hash(blobs).join(live, "chunk_hash", "left")
+    orphan = F.col("live").isNull()
+    return own.agg(F.count("*").alias("scanned"), F.count_if(orphan).alias("orphans"), F.coalesce(F.sum(F.when(orphan, F.col("size_bytes"))), F.lit(0)).cast("long").alias("orphan_bytes"))
+
+
 def missing_chunks(chunks: DataFrame, blobs: DataFrame) -> DataFrame:
     """Hashes that files need and no blob holds."""
     there = blobs.where(F.col("blob_name").startswith("chunks/")).select(F.substring("blob_name", 8, 1000).alias("hash"))
@@ -64,13 +75,17 @@ def removed_hashes(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def folder_of_file(files: DataFrame, folders: DataFrame, default_tier: int = 0) -> DataFrame:
-    """First enabled folder in order whose path is a prefix (not the deepest), and its tier.
-
-    The folder table is the configuration of one installation; the planner broadcasts it by its size."""
-    f = folders.where("enabled").select(F.struct("ordinal", "path", "tier").alias("folder"), path_key(F.col("path")).alias("prefix"))
-    hit = files.join(f, path_key(F.col("local_path")).startswith(F.col("prefix")), "left")
-    first = hit.groupBy("file_id", "local_path").agg(F.min("folder").alias("folder"))
-    return first.select("file_id", "local_path", F.col("folder.path").alias("folder"), F.coalesce("folder.tier", F.lit(default_tier)).alias("tier"))
+    """First enabled folder in order whose path is a prefix (not the deepest), and its tier. Each file row is a row of the result.
+
+    The folder table is the configuration of one installation: at most ``MAX_FOLDERS`` rows, which become an array in the
+    plan, so that files are matched where they are read. More rows than that are no configuration and an error."""
+    own = folders.where("enabled").orderBy("ordinal").select("path", "tier").take(MAX_FOLDERS + 1)
+    if len(own) > MAX_FOLDERS:
+        raise ValueError(f"more than {MAX_FOLDERS} watched folders")
+    key = path_key(F.col("local_path"))
+    first = F.coalesce(*[F.when(key.startswith(r.path.upper()), F.struct(F.lit(r.path).alias("path"), F.lit(r.tier).alias("tier"))) for r in own], F.lit(None).cast("struct<path:string,tier:int>"))
+    hit = files.select("file_id", "local_path", first.alias("folder"))
+    return hit.select("file_id", "local_path", F.col("folder.path").alias("folder"), F.coalesce("folder.tier", F.lit(default_tier)).alias("tier"))
 
 
 def stale_pending(pending: DataFrame, files: DataFrame, local: DataFrame) -> DataFrame:

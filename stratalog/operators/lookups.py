@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from ..functions.paths import path_key
 
 
-def nested_files(files: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Every file with its chunks in order as an array; chunks of no file are left out."""
-    own = chunks.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("chunk_order", "chunk_index", "offset", "length", "hash"))).alias("chunks"))
-    empty = F.array().cast("array<struct<chunk_order:int,chunk_index:int,offset:bigint,length:int,hash:string>>")
+CHUNK = ("chunk_order", "chunk_index", "offset", "length", "hash")
+
+
+def nested_files(files: DataFrame, chunks: DataFrame, columns: tuple[str, ...] = CHUNK) -> DataFrame:
+    """Every file with its chunks in order as an array; chunks of no file are left out. ``columns``, the order first: what a query needs of a chunk; the planner can't see into the array, and other columns would be read and shuffled for nothing."""
+    own = chunks.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("chunks"))
+    empty = F.filter(F.array(F.lit(None).cast(own.schema["chunks"].dataType.elementType)), lambda x: x.isNotNull())
     return files.join(own, "file_id", "left").withColumn("chunks", F.coalesce("chunks", empty))
 
 
@@ -55,6 +58,23 @@ def failed_in_last_run(files: DataFrame, failures: DataFrame, runs: DataFrame) -
     return files.join(failures.join(F.broadcast(last), "run_id", "left_semi"), "file_id", "left_semi")
 
 
+def in_scope(files: DataFrame, failures: DataFrame, runs: DataFrame, preset: str, now: str, session_start: str) -> DataFrame:
+    """Files of a preset: session, 24h, 7d, all, or failed_last_run."""
+    hours = {"24h": 24, "7d": 168}
+    if preset == "all":
+        return files
+    if preset == "failed_last_run":
+        return failed_in_last_run(files, failures, runs)
+    if preset == "session":
+        return since(files, session_start)
+    return files.where(F.col("backed_up_at") >= F.lit(now).cast("timestamp_ntz") - F.make_dt_interval(hours=F.lit(hours[preset])))
+
+
+def any_row(df: DataFrame) -> DataFrame:
+    """Whether there is a row at all; reads no more than it takes to find one."""
+    return df.limit(1).agg((F.count("*") > 0).alias("found"))
+
+
 def oldest_pending(pending: DataFrame, n: int) -> DataFrame:
     """Oldest first, ties by id; without a positive n, 100."""
     return pending.orderBy("detected_at", "id").limit(n if n > 0 else 100)

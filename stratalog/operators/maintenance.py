@@ -107,13 +107,26 @@ def classified_findings(messages: DataFrame) -> DataFrame:
     return good.unionByName(m.where("name IS NULL").select("ordinal", F.lit("unrepairable").alias("kind"), F.col("line").alias("name"))).orderBy("ordinal")
 
 
-def update_file_chunks(index: DataFrame, refs: DataFrame, path: str, new_chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A file's new version (file_path, chunk_hash, chunk_index, referenced_at, size_bytes, tier, is_new): references to hashes it no longer has go first, then the new ones are added."""
-    old = refs.where(F.col("file_path") == path)
-    gone = old.join(new_chunks.select("chunk_hash"), "chunk_hash", "left_anti").select("file_path", "chunk_hash").distinct()
+def recovered_settings(fresh: DataFrame, quarantined: DataFrame) -> DataFrame:
+    """Settings of a fresh catalog with the salt of the quarantined one and no failed logins. Without a salt nothing was ever encrypted, and there is nothing to rebuild from: an error. Keys and verification digests are not derived here."""
+    salt = quarantined.agg(F.max("password_salt").alias("_salt"))
+    had = F.when(F.col("_salt").isNull(), F.raise_error(F.lit("the quarantined catalog has no salt"))).otherwise(F.col("_salt"))
+    out = fresh.crossJoin(salt).withColumn("password_salt", had).withColumn("failed_logins", F.lit(0)).withColumn("lockout_until", F.lit(None).cast("timestamp_ntz"))
+    return out.select(*fresh.columns)
+
+
+def rebuilt_from_quarantine(fresh: DataFrame, quarantined: DataFrame, files: DataFrame, chunks: DataFrame, blobs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A fresh catalog in place of a quarantined one: its settings, reseeded, and the index out of the metadata."""
+    return recovered_settings(fresh, quarantined), rebuilt_index(files, chunks, blobs)
+
+
+def update_file_chunks(index: DataFrame, refs: DataFrame, paths: DataFrame, new_chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """New versions of the files ``paths`` (file_path), as their chunks (file_path, chunk_hash, chunk_index, referenced_at, size_bytes, tier, is_new): references to hashes that a file no longer has go first, then the new ones are added."""
+    old = refs.join(paths.select("file_path"), "file_path", "left_semi")
+    gone = old.join(new_chunks.select("file_path", "chunk_hash"), ["file_path", "chunk_hash"], "left_anti").select("file_path", "chunk_hash").distinct()
     left = refs.join(gone, ["file_path", "chunk_hash"], "left_anti")
     index, left = add_references(index, left, new_chunks)
-    touched = gone.select("chunk_hash").withColumn("touched", F.lit(True))
+    touched = gone.select("chunk_hash").distinct().withColumn("touched", F.lit(True))
     j = index.join(touched, "chunk_hash", "left").join(live_reference_counts(left), "chunk_hash", "left")
     n = F.when(F.col("touched"), F.coalesce("live_count", F.lit(0))).otherwise(F.col("reference_count")).cast("int")
     out = j.withColumn("reference_count", n).where(~F.coalesce(F.col("touched") & (F.col("reference_count") == 0), F.lit(False)))

@@ -33,6 +33,15 @@ def upsert_files(files: DataFrame, chunks: DataFrame, refs: DataFrame, new_files
     return files_out, chunks_out, refs_out
 
 
+def bulk_insert(files: DataFrame, chunks: DataFrame, refs: DataFrame, new_files: DataFrame, new_chunks: DataFrame, with_refs: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Append files with their chunks and, unless an index is being rebuilt, their references; a path that is there already stops the job."""
+    files_out = insert_unique(files, new_files, "local_path")
+    if with_refs:
+        own = new_chunks.join(new_files.select("file_id", "local_path", "backed_up_at"), "file_id")
+        refs = refs.unionByName(own.select(F.col("local_path").alias("file_path"), F.col("hash").alias("chunk_hash"), "chunk_index", F.col("backed_up_at").alias("referenced_at")))
+    return files_out, chunks.unionByName(new_chunks), refs
+
+
 def insert_unique(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Append; a key that is there already (or twice in the new rows) stops the job."""
     both = old.unionByName(new)
@@ -94,6 +103,16 @@ def next_id(df: DataFrame) -> DataFrame:
     return df.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).alias("id"))
 
 
+def insert_run(runs: DataFrame, run: DataFrame) -> DataFrame:
+    """``run``: one row without an id; it gets the next one."""
+    return runs.unionByName(run.crossJoin(next_id(runs)).select(*runs.columns))
+
+
+def update_runs(runs: DataFrame, changed: DataFrame) -> DataFrame:
+    """Rows of ``changed`` replace those of their id; an id that isn't there changes nothing."""
+    return upsert(runs, changed.join(runs.select("id"), "id", "left_semi").select(*runs.columns), ["id"])
+
+
 def keep_run_failures(failures: DataFrame, run_id: int) -> DataFrame:
     return failures.where(F.col("run_id") == run_id)
 
@@ -129,7 +148,7 @@ def upload_names(uploads: DataFrame, stored: DataFrame) -> DataFrame:
     same = v.groupBy("hash", digest(F.col("content")).alias("digest")).agg(F.min("version").alias("same"))
     u = uploads.withColumn("digest", digest(F.col("content"))).join(same, ["hash", "digest"], "left").join(taken, "hash", "left")
     free = F.array_min(F.array_except(F.sequence(F.lit(1), F.lit(1000)), F.coalesce("taken", F.array().cast("array<int>"))))
-    version = F.coalesce("same", free)
+    version = F.coalesce("same", free, F.raise_error(F.concat(F.lit("no free version of chunks/"), F.col("hash"))).cast("int"))
     name = F.concat(F.lit("chunks/"), "hash", F.when(version > 1, F.concat(F.lit("_v"), version.cast("string"))).otherwise(""))
     return u.select("hash", "content", name.alias("blob_name"), F.col("same").isNotNull().alias("reused"))
 

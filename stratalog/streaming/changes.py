@@ -6,11 +6,14 @@ its state; changes later than that are dropped, which a replay of the batch form
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.paths import path_key
-from ..operators.mutations import queue_changes, upsert
+from ..operators.mutations import last_of, queue_changes, upsert
 from ..operators.reconcile import drain
 from ..sources import versions
 
@@ -46,23 +49,24 @@ def settled_kind(bursts_of: DataFrame, local: DataFrame) -> DataFrame:
 
 
 def queue_stream(events: DataFrame, root: str, checkpoint: str):
-    """Write a stream of changes (id, file_path, change_type, detected_at) into a versioned queue; a batch that is repeated after a failure changes nothing."""
+    """Write a stream of changes (id, file_path, change_type, detected_at) into a queue of buckets; a batch rewrites the buckets of its paths, and one that is repeated after a failure changes nothing."""
 
     def batch(df: DataFrame, _epoch: int) -> None:
-        spark = df.sparkSession
-        old = versions.read(spark, root) if versions.current(spark, root) else df.limit(0)
-        versions.write(queue_changes(old, df.withColumn("ordinal", F.struct("detected_at", "id")), "ordinal"), root)
+        change = lambda old, new: queue_changes(old, new.withColumn("ordinal", F.struct("detected_at", "id")), "ordinal")
+        versions.change_buckets(df.persist(), path_key(F.col("file_path")), root, df.schema, change)
+        df.unpersist()
 
     return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).outputMode("append")
 
 
-def stamp_stream(stamps: DataFrame, root: str, checkpoint: str):
-    """Keyed digests (chunk_hash, expected_md5) into a versioned table, the last of a batch wins."""
+def stamp_stream(stamps: DataFrame, root: str, checkpoint: str, ordinal: str):
+    """Keyed digests (chunk_hash, expected_md5) into a table of buckets; of a batch the row of greatest ``ordinal`` wins, and a later batch wins over an earlier one."""
+    columns = [c for c in stamps.columns if c != ordinal]
 
     def batch(df: DataFrame, _epoch: int) -> None:
-        spark = df.sparkSession
-        last = df.dropDuplicates(["chunk_hash"])
-        versions.write(upsert(versions.read(spark, root), last, ["chunk_hash"]) if versions.current(spark, root) else last, root)
+        last = last_of(df, [F.col("chunk_hash")], ordinal).select(*columns).persist()
+        versions.change_buckets(last, F.col("chunk_hash"), root, last.schema, lambda old, new: upsert(old, new, ["chunk_hash"]))
+        last.unpersist()
 
     return stamps.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
 
@@ -72,6 +76,25 @@ def next_batch(pending: DataFrame, n: int = 50) -> DataFrame:
     return drain(pending.orderBy("detected_at", "id").limit(n))
 
 
+def drain_stream(ticks: DataFrame, queue: str, schema: StructType, work: Callable[[DataFrame], None], checkpoint: str, n: int = 50, every: str = "1 second"):
+    """The drain loop: at each tick the ``n`` oldest changes of a queue go to ``work``, and then leave the queue, unless they were queued anew meanwhile.
+
+    ``ticks`` is any stream that goes on (a rate source); what it says doesn't matter. ``work`` may see a batch again
+    when it failed, or the stream did before the queue was written; the checkpoint retries it."""
+
+    def batch(df: DataFrame, _epoch: int) -> None:
+        spark = df.sparkSession
+        todo = next_batch(versions.read_buckets(spark, queue, schema), n).persist()
+        if not todo.isEmpty():
+            work(todo)
+            done = todo.select(F.col("id").alias("_id"), path_key(F.col("file_path")).alias("_k"))
+            gone = lambda old, _: old.join(done, (F.col("id") == F.col("_id")) & (path_key(F.col("file_path")) == F.col("_k")), "left_anti")
+            versions.change_buckets(todo.select(*schema.names), path_key(F.col("file_path")), queue, schema, gone)
+        todo.unpersist()
+
+    return ticks.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=every)
+
+
 def rescan(local: DataFrame, pending: DataFrame, detected_at: str) -> DataFrame:
     """After an overflow every file of the folder is queued again."""
     all_of = local.select(F.xxhash64("path").alias("id"), F.col("path").alias("file_path"), F.lit(1).alias("change_type"), F.lit(detected_at).cast("timestamp_ntz").alias("detected_at"))

@@ -83,3 +83,16 @@ def test_profile_by_size_and_extension(spark):
     rows = [("a.MP4", 10), ("a.docx", 10), ("a", 10), ("a.txt", 501 << 20)]
     got = [tuple(r[0]) for r in spark.createDataFrame(rows, "p string, n long").select(cd.profile(F.col("p"), F.col("n"))).collect()]
     assert got == [(1 << 20, 64 << 20, 22), (32 << 10, 256 << 10, 17), (64 << 10, 1 << 20, 18), (16 << 20, 128 << 20, 26)]
+
+
+def test_small_files_together_as_one_by_one(spark, monkeypatch):
+    """Files of several profiles, empty and long ones among them, in groups of any size."""
+    rng = random.Random(9)
+    rows = [(f"{i}{rng.choice(['.txt', '.pdf', '', '.TXT'])}", bytes(rng.choices(b"abcdefgh \n", k=rng.choice([0, 1, 47, 300, 2000, 70_000])))) for i in range(150)] + [("null.txt", None)]
+    want = sorted((p, *x) for p, d in rows for x in cd.chunk_bytes(d or b"", 64, 500, 6))
+    got = cd.chunk_files(spark.createDataFrame(rows, "path string, content binary").coalesce(2), 64, 500, 6).collect()
+    assert sorted((r.path, r.chunk_index, r.offset, r.length, r.hash) for r in got) == want
+    assert {r.path: r.file_hash for r in got} == {p: hashlib.sha256(d or b"").hexdigest().upper() for p, d in rows}
+    profiles = cd.chunk_files(spark.createDataFrame(rows, "path string, content binary"), file_hash=False).collect()
+    of = lambda p: (16 << 10, 128 << 10, 16) if p.lower().endswith(".txt") else (64 << 10, 512 << 10, 18) if p.endswith(".pdf") else (64 << 10, 1 << 20, 18)
+    assert sorted((r.path, r.chunk_index, r.offset, r.length, r.hash) for r in profiles) == sorted((p, *x) for p, d in rows for x in cd.chunk_bytes(d or b"", *of(p)))

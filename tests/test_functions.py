@@ -141,3 +141,13 @@ def test_memory_limits(spark):
     got = values(spark, [(0,), (512,), (16384,), (12000,), (65536,), (600,)], "t long", formats.memory_steps(t), formats.default_limit(t))
     assert got == [([512], 8192), ([512], 512), ([512, 1024, 2048, 4096, 8192, 16384], 4096), ([512, 1024, 2048, 4096, 8192, 12000], 2048), ([512 << k for k in range(8)], 8192), ([512, 600], 512)]
     assert values(spark, [(5, 10), (8, 10), (9, 10), (9, 0)], "l long, t long", formats.memory_severity(F.col("l"), t)) == [("Safe",), ("Aggressive",), ("Dangerous",), ("Safe",)]
+
+
+def test_recovery_codes_as_columns(spark):
+    import os
+
+    salts = [bytes(16), b"\xff" * 16, *(os.urandom(16) for _ in range(20))]
+    df = spark.createDataFrame([(bytearray(s),) for s in salts], "salt binary").withColumn("code", hashing.recovery_code_of(F.col("salt")))
+    got = df.select("salt", "code", hashing.salt_of(F.lower("code")).alias("back"), hashing.salt_of(F.concat("code", F.lit("0"))).alias("long"), hashing.salt_of(F.lit("not a code")).alias("bad")).collect()
+    assert [r.code for r in got] == [hashing.recovery_code(s) for s in salts]
+    assert all(r.back == r.salt and r.long is None and r.bad is None for r in got)

@@ -385,3 +385,50 @@ def test_listings(spark, tmp_path):
     assert b == {"chunks/abc": (5, "827ccb0eea8a706c4c34a16891f84e7b"), "metadata/m": (2, "99914b932bd37a50b983c5e7c90ae93b")}
     assert readers.listing(spark, str(tmp_path / "store")).agg(F.sum("length")).collect()[0][0] == 7
     assert [bytes(r[0]) for r in readers.contents(spark, str(tmp_path / "store/chunks")).select(lo.read_range(F.col("content"), F.lit(1), F.lit(3))).collect()] == [b"234"]
+
+
+# --- limits and errors of composites ---
+
+
+def test_folder_table_is_bounded(make, monkeypatch):
+    files = make([file(1, "C:/a/x", 1), file(2, "D:/b", 1), file(2, "D:/b", 1)], FILES)
+    folders = make([(2, "c:/A", 2, True), (1, "C:/a/", 1, True), (3, "D:", 3, False)], "ordinal int, path string, tier int, enabled boolean")
+    got = sorted((r.file_id, r.folder, r.tier) for r in jo.folder_of_file(files, folders).collect())
+    assert got == [(1, "C:/a/", 1), (2, None, 0), (2, None, 0)]
+    assert jo.folder_of_file(files, folders.limit(0)).count() == 3
+    monkeypatch.setattr(jo, "MAX_FOLDERS", 1)
+    with pytest.raises(ValueError):
+        jo.folder_of_file(files, folders)
+
+
+def test_no_free_version_is_an_error(make):
+    stored = make([("chunks/h" + (f"_v{k}" if k > 1 else ""), f"{k}".encode()) for k in range(1, 1001)], "blob_name string, content binary")
+    assert mu.upload_names(make([("h", b"7")], "hash string, content binary"), stored).collect()[0].blob_name == "chunks/h_v7"
+    with pytest.raises(Exception, match="no free version"):
+        mu.upload_names(make([("h", b"new")], "hash string, content binary"), stored).collect()
+
+
+def test_quarantined_catalog_without_a_salt_is_an_error(make):
+    fresh = make([("new", 3, None)], "password_salt string, failed_logins int, lockout_until timestamp_ntz")
+    old = make([("old",)], "password_salt string")
+    assert tuple(mx.recovered_settings(fresh, old).collect()[0]) == ("old", 0, None)
+    with pytest.raises(Exception, match="no salt"):
+        mx.recovered_settings(fresh, old.where("false")).collect()
+
+
+def test_bulk_insert_stops_at_a_path_that_is_there(make):
+    files = make([file(1, "a", 1), file(2, "b", 1)], FILES)
+    chunks = make([(1, 0, 0, 0, 4, "x")], CHUNKS)
+    refs = make([], "file_path string, chunk_hash string, chunk_index int, referenced_at timestamp_ntz")
+    out = mu.bulk_insert(files.where("file_id = 1"), chunks, refs, files.where("file_id = 2"), chunks.limit(0), True)
+    assert [df.count() for df in out] == [2, 1, 0]
+    with pytest.raises(Exception, match="duplicate key"):
+        mu.bulk_insert(files, chunks, refs, files.where("file_id = 2"), chunks, True)[0].collect()
+
+
+def test_large_restore_is_put_together_once(make):
+    n = 3000
+    chunks = make([(1, k, k, 1000 * k, 1000, f"h{k % 7}") for k in range(n)], CHUNKS)
+    bodies = make([(f"h{k}", bytes([65 + k]) * 1000) for k in range(6)], "chunk_hash string, plain binary")
+    (r,) = it.best_effort(chunks, bodies).collect()
+    assert bytes(r.content) == b"".join(bytes([65 + k % 7]) * 1000 if k % 7 < 6 else bytes(1000) for k in range(n))

@@ -1,4 +1,6 @@
 import datetime as dt
+import time
+from datetime import timedelta
 
 from pyspark.sql import functions as F
 
@@ -38,22 +40,61 @@ def test_stream_debounce_equals_batch(spark, tmp_path):
 
 def test_queue_stream_is_idempotent(spark, tmp_path):
     src, root = tmp_path / "in", f"file://{tmp_path}/queue"
-    spark.createDataFrame(EVENTS, SCHEMA).repartition(3).write.json(str(src))
+    events = spark.createDataFrame(EVENTS, SCHEMA)
+    events.repartition(3).write.json(str(src))
     for cp in ("cp1", "cp2"):  # the second run replays everything
         stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).json(str(src))
         q = changes.queue_stream(stream, root, str(tmp_path / cp)).start()
         q.processAllAvailable()
         q.stop()
-        assert sorted(r.file_path.upper() for r in versions.read(spark, root).collect()) == ["/A", "/B"]
+        assert sorted(r.file_path.upper() for r in versions.read_buckets(spark, root, events.schema).collect()) == ["/A", "/B"]
+
+
+def test_stamp_stream_keeps_the_last(spark, tmp_path):
+    src, root, schema = tmp_path / "in", f"file://{tmp_path}/stamps", "chunk_hash string, expected_md5 string, at long"
+    spark.createDataFrame([("h1", "a", 1), ("h2", "b", 2), ("h1", "c", 4), ("h1", "d", 3)], schema).repartition(4).write.json(str(src))
+    stream = lambda: changes.stamp_stream(spark.readStream.schema(schema).json(str(src)), root, str(tmp_path / "cp"), "at")
+    own = spark.createDataFrame([], "chunk_hash string, expected_md5 string").schema
+    for more, want in (([], [("h1", "c"), ("h2", "b")]), ([("h2", "e", 5), ("h3", "f", 5)], [("h1", "c"), ("h2", "e"), ("h3", "f")])):
+        if more:
+            spark.createDataFrame(more, schema).write.mode("append").json(str(src))
+        q = stream().start()
+        q.processAllAvailable()
+        q.stop()
+        assert sorted(tuple(r) for r in versions.read_buckets(spark, root, own).collect()) == want
+
+
+def test_drain_stream_empties_the_queue(spark, tmp_path):
+    """Oldest first, a few at a time, deletions first within a batch; what fails is tried again and nothing is lost."""
+    queue = f"file://{tmp_path}/queue"
+    rows = [(i, f"/F{i}", 2 if i % 3 == 0 else 1, T0 + timedelta(seconds=100 - i)) for i in range(17)]
+    pending = spark.createDataFrame(rows, SCHEMA)
+    versions.change_buckets(pending, changes.path_key(F.col("file_path")), queue, pending.schema, lambda old, new: old.unionByName(new))
+    seen = []
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 5).load()
+    q = changes.drain_stream(ticks, queue, pending.schema, lambda df: seen.append([(r.id, r.step) for r in df.collect()]), str(tmp_path / "cp"), n=5, every="100 milliseconds").start()
+    until = time.time() + 90
+    while time.time() < until and sum(map(len, seen)) < 17:
+        time.sleep(0.3)
+    q.stop()
+    assert [sorted(i for i, _ in b) for b in seen] == [[12, 13, 14, 15, 16], [7, 8, 9, 10, 11], [2, 3, 4, 5, 6], [0, 1]]
+    assert all([s for _, s in b] == sorted((s for _, s in b), key=lambda s: s != "exclude") for b in seen)
 
 
-def test_stamp_stream(spark, tmp_path):
-    src, root = tmp_path / "in", f"file://{tmp_path}/stamps"
-    spark.createDataFrame([("h1", "a"), ("h2", "b"), ("h1", "a")], "chunk_hash string, expected_md5 string").coalesce(1).write.json(str(src))
-    q = changes.stamp_stream(spark.readStream.schema("chunk_hash string, expected_md5 string").json(str(src)), root, str(tmp_path / "cp")).start()
-    q.processAllAvailable()
-    q.stop()
-    assert sorted(tuple(r) for r in versions.read(spark, root).collect()) == [("h1", "a"), ("h2", "b")]
+def test_a_change_rewrites_only_its_buckets(spark, tmp_path):
+    root = f"file://{tmp_path}/t"
+    rows = spark.range(200).withColumn("v", F.lit(0))
+    change = lambda old, new: old.join(new.select("id"), "id", "left_anti").unionByName(new)
+    versions.change_buckets(rows, F.col("id"), root, rows.schema, change)
+    before = versions._manifest(spark, root)
+    for v in (1, 2, 3):
+        versions.change_buckets(spark.createDataFrame([(7, v)], rows.schema), F.col("id"), root, rows.schema, change)
+    after = versions._manifest(spark, root)
+    assert len(before) > 50 and sum(before[b] != after[b] for b in before) == 1
+    got = {r.id: r.v for r in versions.read_buckets(spark, root, rows.schema).collect()}
+    assert len(got) == 200 and got.pop(7) == 3 and set(got.values()) == {0}
+    folders = [f for f in (tmp_path / "t").iterdir() if f.name.startswith("v-")]
+    assert len(folders) == 3  # the first one with the other buckets, the current one, the one before
 
 
 def test_versions_swap(spark, tmp_path):
