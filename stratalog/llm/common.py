@@ -121,6 +121,18 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
 
 
+_resident: list = []
+
+
+def resident(key, build: Callable[[], object]):
+    """What a Python worker holds on to from one task to the next: one thing at a time, so that what the operators of a pipeline
+    need in turn doesn't add up. ``key`` tells it from others; what ``build`` gives keeps alive what the key names."""
+    if not _resident or _resident[0] != key:
+        _resident.clear()
+        _resident.extend((key, build()))
+    return _resident[1]
+
+
 def batches(fn: Callable[[dict[str, list]], dict[str, list]], schema: pa.Schema, *columns: str):
     """A mapInArrow function from lists of ``columns`` to lists of ``schema``; strings come as UTF-8 bytes."""
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField, StructType
 
-from .common import free_name, materialize, only, release, table
+from .common import free_name, materialize, only, release, resident, table
 
 #: Words are runs of `[^\x00-\x2F\x3A-\x60\x7B-\x7F]` after lower-casing A-Z: every other byte becomes a space.
 _WORD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -62,21 +62,18 @@ def item_blocks(items: DataFrame, width: int, block_chars: int) -> Iterator[dict
     yield block
 
 
-_built: dict[int, object] = {}
-
-
 def _automaton(block):
     import ahocorasick
 
-    if (key := id(block)) not in _built:
-        _built.clear()
+    def built():
         a = ahocorasick.Automaton()
         for w, ids in block.items():
             a.add_word(w, (w.count(" ") - 1, ids))
         if block:
             a.make_automaton()
-        _built[key] = (block, a)
-    return _built[key][1]
+        return block, a
+
+    return resident(("benchmark", id(block)), built)[1]
 
 
 def scan_words(automaton, words: list[bytes]) -> tuple[np.ndarray | None, set[str | None]]:

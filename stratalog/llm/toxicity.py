@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, only, table
+from .common import batches, only, resident, table
 
 TOKEN = re.compile(r"[\w@$*]+(?:[!'’][\w@$*]+)*")
 LEET = str.maketrans("013457@$!", "oieastasi")
@@ -346,14 +346,8 @@ def fit_texts(texts: dict[str, int], max_terms: int = 1_000) -> dict:
 
 # --- scoring -------------------------------------------------------------------------------------------------
 
-_ready: dict[int, tuple] = {}
-
-
 def _scorer(model: dict):
-    if id(model) not in _ready:
-        _ready.clear()
-        _ready[id(model)] = (model, Matcher(model["words"], model["stems"], model["ordinary"]), set())
-    _, matcher, clean = _ready[id(model)]
+    _, matcher, clean = resident(("toxicity", id(model)), lambda: (model, Matcher(model["words"], model["stems"], model["ordinary"]), set()))
     weights = np.array(model["weights"] or [0.0] * len(FEATURES) + [-30.0])
     nothing = float(1 / (1 + math.exp(-weights[-1])))
 
