@@ -133,6 +133,11 @@ def resident(key, build: Callable[[], object]):
     return _resident[1]
 
 
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` uses it."""
+    return F.transform(F.array(value), then)[0]
+
+
 def batches(fn: Callable[[dict[str, list]], dict[str, list]], schema: pa.Schema, *columns: str):
     """A mapInArrow function from lists of ``columns`` to lists of ``schema``; strings come as UTF-8 bytes."""
 

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, only, table
+from .common import bound, materialize, only, table
 
 _TAG = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>|</?(?P<bad>[a-zA-Z][^\s/>]*)[^>]*>|<[!?/][^>]*>|<[a-zA-Z/!?][^>]*\Z",
@@ -323,8 +323,29 @@ def low_nodes(parsed: DataFrame, min_pages: int, threshold: float, content_weigh
     return low.groupBy("host").agg(F.collect_set("low").alias("low"))
 
 
-def _chars(blocks: Column, kind: int) -> Column:
-    return F.aggregate(F.filter(blocks, lambda b: b["kind"] >= kind), F.lit(0).cast("long"), lambda n, b: n + F.length(b["text"]))
+def _main_text(blocks: Column, low: Column) -> Column:
+    """The text of a page, from its blocks and what is low on its host. Each step is computed once for the page."""
+
+    def judged(m: Column) -> Column:
+        inside = F.exists(m, lambda b: b["kind"] > 0) & ~F.exists(m, lambda b: (b["kind"] > 0) & b["fine"])
+        return bound(F.struct(m.alias("m"), inside.alias("inside")), left)
+
+    def left(s: Column) -> Column:
+        # a page whose article and main would be emptied keeps them, and one that would be emptied keeps all
+        kept = F.filter(s["m"], lambda b: b["fine"] | (s["inside"] & (b["kind"] > 0)))
+        return bound(bound(kept, lambda k: F.when(F.size(k) == 0, s["m"]).otherwise(k)), levelled)
+
+    def levelled(k: Column) -> Column:
+        chars = F.aggregate(
+            k,
+            F.struct(*[F.lit(0).cast("long").alias(f"n{i}") for i in range(3)]),
+            lambda n, b: F.struct(*[(n[f"n{i}"] + F.when(b["kind"] >= i, b["n"]).otherwise(0)).cast("long").alias(f"n{i}") for i in range(3)]),
+            lambda n: F.when(2 * n["n2"] >= n["n0"], 2).when(2 * n["n1"] >= n["n0"], 1).otherwise(0),
+        )
+        return bound(F.struct(k.alias("k"), chars.alias("level")), lambda t: F.array_join(F.transform(F.filter(t["k"], lambda b: b["kind"] >= t["level"]), lambda b: b["text"]), "\n"))
+
+    fine = lambda b: F.when(low.isNull(), True).otherwise(~(F.array_contains(low, b["node"]) | F.array_contains(low, b["content"])))
+    return bound(F.transform(blocks, lambda b: F.struct(b["text"].alias("text"), b["kind"].alias("kind"), F.length(b["text"]).alias("n"), fine(b).alias("fine"))), judged)
 
 
 def extract_text(pages: DataFrame, min_pages: int = 4, threshold: float = 0.4, content_weight: float = 0.7) -> DataFrame:
@@ -332,15 +353,7 @@ def extract_text(pages: DataFrame, min_pages: int = 4, threshold: float = 0.4, c
     parsed = materialize(parse_pages(pages), "html-blocks")
     low = materialize(low_nodes(parsed, min_pages, threshold, content_weight), "html-low-nodes")
     judged = parsed.join(low, "host", "left")
-    fine = lambda b: F.col("low").isNull() | ~(F.array_contains(F.col("low"), b["node"]) | F.array_contains(F.col("low"), b["content"]))
-    # a page whose article and main would be emptied keeps them, and one that would be emptied keeps all
-    inside = F.exists("blocks", lambda b: b["kind"] > 0) & ~F.exists("blocks", lambda b: (b["kind"] > 0) & fine(b))
-    judged = judged.withColumn("inside", inside).withColumn("left", F.filter("blocks", lambda b: fine(b) | (F.col("inside") & (b["kind"] > 0))))
-    judged = judged.withColumn("left", F.when(F.size("left") == 0, F.col("blocks")).otherwise(F.col("left")))
-    judged = judged.withColumn("level", F.when(2 * _chars(F.col("left"), 2) >= _chars(F.col("left"), 0), 2).when(2 * _chars(F.col("left"), 1) >= _chars(F.col("left"), 0), 1).otherwise(0))
-    kept = F.filter("left", lambda b: b["kind"] >= F.col("level"))
-    text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
-    return judged.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    return judged.select("page_id", "url", _main_text(F.col("blocks"), F.col("low")).alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
