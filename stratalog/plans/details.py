@@ -17,6 +17,7 @@ from ..operators import tree
 from ..sources import readers
 from ..sources.catalog import hash_of
 from ..sources.scratch import scratch_path
+from ..streaming import changes
 from .registry import query
 
 KEY = b"0123456789abcdef0123456789abcdef"
@@ -215,6 +216,15 @@ def emptiness_probes(c):
     return of("refs", c.chunk_file_refs).unionByName(of("failures of no run", c.failures.where("run_id < 0"))).unionByName(of("failures of tier 3", c.failures.where("failure_tier = 3")))
 
 
+@query("SELECT id, file_path, change_type FROM (SELECT id, '/w' || id % 3 || file_path AS file_path, change_type FROM pending_changes WHERE change_type <> 3 UNION ALL SELECT id, '/w' || id % 3 || '/old' || file_path, 2 FROM pending_changes WHERE change_type = 3 UNION ALL SELECT id, '/w' || id % 3 || file_path, 0 FROM pending_changes WHERE change_type = 3) WHERE NOT starts_with(file_path, '/w2/') AND NOT regexp_matches(upper(file_path), '/U[0-9]*7$')")
+def watched_changes(c):
+    """ST1: renames are split, changes outside of the watched folders or of excluded names are left out"""
+    root = F.concat(F.lit("/w"), (F.col("id") % 3).cast("string"))
+    e = c.pending_changes.withColumn("old_path", F.concat(root, F.lit("/old"), "file_path")).withColumn("file_path", F.concat(root, "file_path"))
+    split = changes.split_renames(e.select("old_path", "file_path", "change_type", F.col("id").alias("detected_at")))
+    return changes.watched(split, ["/W0", "/w1/"], ["u*7", ""]).select(F.col("detected_at").alias("id"), "file_path", "change_type")
+
+
 # --- orders, with the place of each row ---
 
 

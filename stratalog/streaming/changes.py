@@ -7,12 +7,13 @@ its state; changes later than that are dropped, which a replay of the batch form
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.paths import path_key
+from ..functions.paths import file_name, matches_any, path_key, under_prefix
 from ..operators.mutations import last_of, queue_changes, upsert
 from ..operators.reconcile import drain
 from ..sources import versions
@@ -27,6 +28,12 @@ def split_renames(events: DataFrame) -> DataFrame:
     return events.select(F.explode(F.when(F.col("change_type") == 3, two).otherwise(one)).alias("e"), "detected_at").select("e.*", "detected_at")
 
 
+def watched(events: DataFrame, folders: list[str], globs: list[str]) -> DataFrame:
+    """Changes below one of the watched folders whose name no exclusion matches; row by row, so for streams too. Folders and globs are the configuration of one installation."""
+    below = reduce(Column.__or__, [under_prefix(F.col("file_path"), F.lit(f), strict=True) for f in folders], F.lit(False))
+    return events.where(below & ~matches_any(file_name(F.col("file_path")), globs))
+
+
 def debounced(events: DataFrame, watermark: str = "10 minutes") -> DataFrame:
     """Bursts of each path, for streams and tables: when the last change was, and how many there were."""
     s = events.withWatermark("detected_at", watermark).groupBy(F.session_window("detected_at", QUIET), path_key(F.col("file_path")).alias("path_key"))

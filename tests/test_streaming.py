@@ -117,3 +117,14 @@ def test_renames_rescan_and_kinds(spark):
     assert sorted(r.file_path.upper() for r in queued.collect()) == ["/A", "/B", "/C"]
     steps = [(r.id, r.step) for r in changes.next_batch(pending, 4).collect()]
     assert len(steps) == 4 and [s for _, s in steps] == sorted((s for _, s in steps), key=lambda s: s != "exclude")
+
+
+def test_watched_changes_of_a_stream(spark, tmp_path):
+    rows_ = [(1, "/a/x.txt", 0, T0), (2, "/A/b/~x", 0, T0), (3, "/ab/x", 0, T0), (4, "/c/x.TMP", 2, T0), (5, "/c/y", 1, T0), (6, None, 1, T0)]
+    spark.createDataFrame(rows_, SCHEMA).write.json(str(tmp_path / "in"))
+    stream = changes.watched(spark.readStream.schema(SCHEMA).json(str(tmp_path / "in")), ["/a", "/C/"], ["*.tmp", "~*", " "])
+    q = stream.writeStream.format("memory").queryName("watched").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r.id for r in spark.table("watched").collect()) == [1, 5]
+    assert changes.watched(spark.createDataFrame(rows_, SCHEMA), [], []).count() == 0
