@@ -563,13 +563,28 @@ def chunk_sequence_check(c):
 # --- chunking and dedup ---
 
 
+#: Least 256, most 4096 bytes and 10 bits, which is all of the hash that counts: sums of bytes times powers of the inverse
+#: of 31 modulo 1024 (991; its 64th power is 1) over 48 bytes. Cuts follow one another, so they are a recursion.
+_CUTS = """WITH RECURSIVE d AS (SELECT doc_id, hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM documents WHERE text IS NOT NULL),
+w AS (SELECT 0 AS k, 1 AS p UNION ALL SELECT k + 1, p * 991 % 1024 FROM w WHERE k < 63),
+b AS (SELECT doc_id, unnest(regexp_extract_all(h, '..')) AS x, unnest(range(n)) AS i FROM d),
+s AS (SELECT doc_id, i, sum((16 * (instr('0123456789ABCDEF', x[1]) - 1) + instr('0123456789ABCDEF', x[2]) - 1) * p) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM b JOIN w ON k = i % 64),
+z AS (SELECT doc_id, i FROM (SELECT doc_id, i, s - coalesce(lag(s, 48) OVER (PARTITION BY doc_id ORDER BY i), 0) AS v FROM s) WHERE i >= 47 AND v % 1024 = 0),
+c AS (SELECT doc_id, 0 AS chunk_index, CAST(0 AS BIGINT) AS start, n, least(coalesce((SELECT min(i) + 1 FROM z WHERE z.doc_id = d.doc_id AND i >= 255), n), 4096, n) AS stop FROM d
+UNION ALL SELECT doc_id, chunk_index + 1, stop, n, least(coalesce((SELECT min(i) + 1 FROM z WHERE z.doc_id = c.doc_id AND i >= stop + 255), n), stop + 4096, n) FROM c WHERE stop < n)
+SELECT 'd' || doc_id || '.txt' AS path, chunk_index, start AS "offset", CAST(stop - start AS INT) AS length, upper(sha256(unhex(substr(h, 2 * start + 1, 2 * (stop - start))))) AS hash FROM c JOIN d USING (doc_id)"""
+
+
 @query(None)
 def cdc_chunks(c):
-    """CD1, CD4: small chunks, so that texts have several; tests hold it against golden vectors and a plain loop."""
+    """CD1, CD4: small chunks, so that texts have several; tests hold it against golden vectors and a plain loop besides."""
     d = c.table("documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").cast("binary").alias("content"))
     return cd.chunk_files(d, 256, 4096, 10, file_hash=False)
 
 
+ORACLE_SQL["cdc_chunks"] = _CUTS
+
+
 @query("SELECT 'd' || doc_id || '.txt' AS path, upper(sha256(text)) AS file_hash, CAST(octet_length(encode(text)) AS BIGINT) AS bytes FROM documents")
 def cdc_file_hash(c):
     """CD1: chunks add up to their file"""
