@@ -21,6 +21,7 @@ ORACLE_SQL = {
     "op3_preferences": chat.OP3_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
     "op5_licenses": licenses.OP5_SQL,
+    "op6_substrings": substrings.OP6_SQL,
     "pii_base": pii.PII_BASE_SQL,
     "op10_decontaminate": decontaminate.OP10_SQL,
 }

@@ -474,3 +474,15 @@ def repeated_substrings(docs: DataFrame, length: int = 200, trigger: int = TRIGG
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_substrings(table(spark, sf_dir, "documents")).drop("spans")
+
+
+#: Every window of 200 bytes, counted; windows are told apart by MD5 here.
+OP6_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT r, i, md5(substr(h, 2 * i + 1, 400)) AS k FROM (SELECT r, h, unnest(range(n - 199)) AS i FROM d WHERE n >= 200)),
+f AS (SELECT r, i, true AS begins FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+p AS (SELECT r, unnest(range(n)) AS i, unnest(regexp_extract_all(h, '..')) AS x FROM d),
+c AS (SELECT r, i, x, coalesce(bool_or(begins) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 199 PRECEDING AND CURRENT ROW), false) AS gone FROM p LEFT JOIN f USING (r, i)),
+s AS (SELECT *, lag(gone, 1, false) OVER (PARTITION BY r ORDER BY i) AS before FROM c),
+g AS (SELECT r, count(*) FILTER (gone) AS n_removed, count(*) FILTER (gone AND NOT before) AS n_spans, string_agg(x, '' ORDER BY i) FILTER (NOT gone) AS kept FROM s GROUP BY r)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN g USING (r)"""

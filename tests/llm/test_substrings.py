@@ -115,3 +115,17 @@ def test_triggers_are_places_under_a_threshold():
         assert list(lo[1:]) == list(hi[:-1] + 1) and lo[0] == 0 and hi[-1] == len(data) - 200
         found.append({int(a) - shift for a, h in zip(at, hi) if h >= shift + 200})
     assert found[0] >= found[1] and found[1] >= found[2] - {x for x in found[2] if x < 200} and len(found[0]) > 15
+
+
+def test_query_against_sql(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(3)
+    line = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
+    shared = line(400)
+    rows = [(i, line(rng.randint(0, 300)) + (shared[rng.randint(0, 150) :] if i % 3 == 0 else "") + line(rng.randint(0, 40))) for i in range(40)] + [(40, None), (41, ""), (42, "z" * 450)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in sub.op6_substrings(spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(sub.OP6_SQL).fetchall()) and sum(r[2] for r in got) > 2000
